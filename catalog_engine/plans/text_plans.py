@@ -72,9 +72,8 @@ def f1_f3_token_counts(spark, d):
 SELECT term, idx, df, CAST(cf AS BIGINT) AS cf, round_even(idf, 9) AS idf FROM vocab""")
 def f4_f5_vocabulary(spark, d):
     docs = _docs(spark, d)
-    tf = TX.term_frequencies(TX.analyze(docs, "text", SPEC), "doc_id")
     n = docs.select(F.count(F.lit(1))).scalar()
-    v = TX.fit_vocabulary(tf, n, SPEC)
+    v = TX.select_vocabulary(TX.term_stats(TX.analyze(docs, "text", SPEC)), n, SPEC)
     return v.select("term", "idx", "df", "cf", F.bround("idf", 9).alias("idf"))
 
 
