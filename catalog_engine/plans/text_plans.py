@@ -11,14 +11,14 @@ from catalog_engine.functions import exprs as X
 from catalog_engine.functions import sqltext as Q
 from catalog_engine.operators import text as TX
 from catalog_engine.plans.registry import register
-from catalog_engine.sources.catalog import read_table
+from catalog_engine.sources.catalog import read_table, spread
 
 SPEC = TX.TfidfSpec(pattern=TX.ASCII_TOKEN)
 TRAIN_SHARE_TEST = 0.2
 
 
 def _docs(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", "text")
+    return spread(read_table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _split(df, test: bool):
@@ -73,7 +73,8 @@ SELECT term, idx, df, CAST(cf AS BIGINT) AS cf, round_even(idf, 9) AS idf FROM v
 def f4_f5_vocabulary(spark, d):
     docs = _docs(spark, d)
     n = docs.select(F.count(F.lit(1))).scalar()
-    v = TX.select_vocabulary(TX.term_stats(TX.analyze(docs, "text", SPEC)), n, SPEC)
+    tf = TX.term_frequencies(TX.analyze(docs, "text", SPEC), "doc_id")
+    v = TX.fit_vocabulary(tf, n, SPEC)
     return v.select("term", "idx", "df", "cf", F.bround("idf", 9).alias("idf"))
 
 

@@ -51,6 +51,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than there are cores.
+
+    A small file with few row groups gives few scan tasks; for heavy per-row
+    work (tokenising whole texts) that leaves cores idle. Large inputs have
+    many row groups, so this never adds a shuffle at scale.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def product_id_expr() -> Column:
     return (F.col("l_orderkey") * F.lit(8000000) + F.col("l_partkey") * F.lit(8)
             + F.col("l_linenumber").cast("long"))
