@@ -233,10 +233,46 @@ def a18_family_means(spark, d):
     return E.family_means(_scores(spark, d))
 
 
-@register("a20_family_summary", f"""{WS}{_scores_sql()}
-SELECT family, count(*) AS n_models, round_even(max(score), 6) AS best_score FROM scores GROUP BY family""")
+_TRAITS_SQL = "traits(family, trait) AS (VALUES " + ", ".join(
+    f"('{f}', '{t}')" for f, t in E.FAMILY_TRAITS) + ")"
+
+
+@register("a20_family_summary", f"""{WS}{_scores_sql()}{_vote_sql()}{_ENS_SQL}, {_TRAITS_SQL},
+fam AS (SELECT family, count(*) AS n_models, max(score) AS best_score FROM scores GROUP BY family
+        UNION ALL SELECT 'ensemble', 1, ensemble FROM ens)
+SELECT family, n_models, round_even(best_score, 6) AS best_score, trait
+FROM fam LEFT JOIN traits USING (family)""")
 def a20_family_summary(spark, d):
-    return E.family_summary(_scores(spark, d))
+    return E.family_summary(_scores(spark, d), _ensemble(spark, d))
+
+
+@register("a23_report_facts", f"""{WS},
+c AS (SELECT count(DISTINCT ProductBrand) + max(CASE WHEN ProductBrand IS NULL THEN 1 ELSE 0 END) AS n_brands,
+             count(DISTINCT Gender) + max(CASE WHEN Gender IS NULL THEN 1 ELSE 0 END) AS n_genders,
+             count(DISTINCT PrimaryColor) + max(CASE WHEN PrimaryColor IS NULL THEN 1 ELSE 0 END) AS n_colors,
+             round_even(avg(Price), 6) AS avg_price,
+             {Q.pct("count_if(PriceCategory = 'Low')", 'count(*)', 6)} AS pct_low,
+             {Q.pct("count_if(PriceCategory = 'Medium')", 'count(*)', 6)} AS pct_medium,
+             {Q.pct("count_if(PriceCategory = 'High')", 'count(*)', 6)} AS pct_high FROM catalog),
+m AS (SELECT round_even({Q.ratio("count_if(split = 'train')", 'count(*)')}, 6) AS train_ratio,
+             round_even({Q.ratio("count_if(split = 'test')", 'count(*)')}, 6) AS test_ratio,
+             round_even(100.0 * avg(CASE WHEN split = 'train' THEN CASE WHEN pred0 = label_idx THEN 1.0 ELSE 0.0 END END), 6) AS train_accuracy,
+             round_even(100.0 * avg(CASE WHEN split = 'test' THEN CASE WHEN pred0 = label_idx THEN 1.0 ELSE 0.0 END END), 6) AS test_accuracy
+      FROM scored)
+SELECT * FROM c, m""")
+def a23_report_facts(spark, d):
+    """Catalog facts and the model's split/accuracy facts in one row; the
+    model facts join the catalog row as scalar subqueries, not a cross join."""
+    facts = C.catalog_facts(*([C.lines(spark, d), C.parts(spark, d)]))
+    rf = _rf(spark, d, None)
+    n = F.count(F.lit(1))
+    is_tr, is_te = F.col("split") == "train", F.col("split") == "test"
+    hit = (F.col("prediction") == F.col("label")).cast("double")
+    m = rf.agg(F.bround(X.ratio(F.count_if(is_tr), n), 6).alias("train_ratio"),
+               F.bround(X.ratio(F.count_if(is_te), n), 6).alias("test_ratio"),
+               F.bround(F.avg(F.when(is_tr, hit)) * 100.0, 6).alias("train_accuracy"),
+               F.bround(F.avg(F.when(is_te, hit)) * 100.0, 6).alias("test_accuracy"))
+    return facts.withColumns({c: m.select(c).scalar() for c in m.columns})
 
 
 @register("a19_ensemble_gain", f"""{WS}{_scores_sql()}{_vote_sql()}{_ENS_SQL},

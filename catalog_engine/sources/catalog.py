@@ -149,6 +149,23 @@ def part_rollup(line_df: DataFrame, part_df: DataFrame, keys: list, aggs: list)
     return rolled.join(part_df, F.col("l_partkey") == F.col("p_partkey"), "left").drop("p_partkey")
 
 
+def catalog_facts(line_df: DataFrame, part_df: DataFrame, tiers=STANDIN_TIERS,
+                  digits: int = 6) -> DataFrame:
+    """A23 catalog part: distinct brand/gender/colour (missing counts as one),
+    mean price and tier percentages, via one pre-aggregated pass."""
+    t = X.price_tier(S.PRICE, *tiers)
+    rolled = part_rollup(line_df, part_df, [], [
+        F.count(F.lit(1)).alias("n"), F.sum(S.PRICE).alias("s"), F.count(S.PRICE).alias("c"),
+        *[F.count_if(t == F.lit(v)).alias(f"n_{v.lower()}") for v in S.TIERS]])
+    n = F.sum("n")
+    return rolled.agg(
+        X.distinct_incl_null(S.BRAND).alias("n_brands"),
+        X.distinct_incl_null(S.GENDER).alias("n_genders"),
+        X.distinct_incl_null(S.COLOR).alias("n_colors"),
+        F.bround(F.try_divide(F.sum("s"), F.sum("c")), digits).alias("avg_price"),
+        *[X.pct(F.sum(f"n_{v.lower()}"), n, digits).alias(f"pct_{v.lower()}") for v in S.TIERS])
+
+
 # --------------------------------------------------------------------------
 # The same view in DuckDB SQL, for oracle queries.
 

@@ -81,3 +81,39 @@ def test_integrated_run_side_by_side(spark, catalog):
     assert {"rf__probability", "ada__probability", "text_lr__probability", "vote"} <= set(scored.columns)
     assert scored.count() == catalog.count()
     assert 0.0 <= res["ensemble"].first()[0] <= 1.0
+
+
+def test_compare_algorithms_table(spark, catalog):
+    out = TR.compare_algorithms(catalog, ["RandomForest", "text_lr"],
+                                overrides={"RandomForest": dict(n_trees=5, max_depth=3),
+                                           "text_lr": dict(max_iter=20)})
+    rows = {r.algorithm: r for r in out.collect()}
+    assert set(rows) == {"RandomForest", "text_lr"}
+    for r in rows.values():
+        assert r.test_error == pytest.approx(100.0 - r.test_accuracy, abs=1e-5)
+        assert r.overfit_gap == pytest.approx(r.train_accuracy - r.test_accuracy, abs=1e-5)
+        assert 0.0 <= r.f1 <= 100.0
+
+
+def test_training_curve_four_series(spark):
+    from pyspark.ml.functions import array_to_vector
+    df = spark.range(400).select(
+        (F.col("id") % 2).cast("double").alias("y"),
+        array_to_vector(F.array((F.col("id") % 2).cast("double"), (F.col("id") % 7).cast("double"))).alias("x"),
+        F.col("id"))
+    train, val = df.filter("id % 5 != 0"), df.filter("id % 5 = 0")
+    curve = TR.training_curve(train, val, "x", "y", [2, 4, 2], epochs=3).orderBy("epoch").collect()
+    assert [r.epoch for r in curve] == [1, 2, 3]
+    assert all(r.train_loss > 0 and 0 <= r.val_acc <= 1 for r in curve)
+
+
+def test_pca_two_components_centred(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from catalog_engine.operators import features as FE
+    df = spark.range(50).select(array_to_vector(F.array(
+        F.col("id").cast("double"), (F.col("id") * 2 + 1).cast("double"), F.lit(3.0))).alias("v"))
+    out = Pipeline(stages=FE.pca_2d("v")).fit(df).transform(df)
+    means = out.select(vector_to_array("pca").alias("p")).agg(
+        F.avg(F.col("p")[0]), F.avg(F.col("p")[1])).first()
+    assert means[0] == pytest.approx(0.0, abs=1e-9) and means[1] == pytest.approx(0.0, abs=1e-9)

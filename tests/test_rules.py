@@ -111,3 +111,15 @@ def test_quality_advice_d2(spark):
     rows = quality_advice(ind).collect()
     assert rows[0].imbalance and not rows[0].ok and len(rows[0].advice) == 1
     assert rows[1].ok and rows[1].advice == ["ok"]
+
+
+def test_relabel_update_and_cached(spark):
+    from catalog_engine.sources.files import Cached
+    df = spark.createDataFrame([(1, 10.0), (2, 20.0)], "a int, b double")
+    r = transforms.relabel(df, ["id", "price"])
+    assert r.columns == ["id", "price"]
+    u = transforms.update_where(r, "price", F.col("id") == 2, F.lit(0.0))
+    assert [x.price for x in u.orderBy("id").collect()] == [10.0, 0.0]
+    with Cached(u) as c:
+        assert c.is_cached and c.count() == 2
+    assert not u.is_cached
