@@ -41,6 +41,13 @@ def default_images(df: DataFrame, value: int = 1) -> DataFrame:
     return df.withColumn(S.IMAGES, F.coalesce(F.col(S.IMAGES), F.lit(value)))
 
 
+def generated_images(df: DataFrame, key: str = S.PRODUCT_ID, lo: int = 1, hi: int = 10) -> DataFrame:
+    """Where a source has no image count, a seeded draw in [lo, hi) per key."""
+    draw = X.uniform_int(key, X.MULT_SAMPLE, lo, hi)
+    cur = F.col(S.IMAGES) if S.IMAGES in df.columns else F.lit(None).cast("int")
+    return df.withColumn(S.IMAGES, F.coalesce(cur, draw))
+
+
 def update_where(df: DataFrame, col: str, mask, value) -> DataFrame:
     """``df.loc[mask, col] = value``."""
     return df.withColumn(col, F.when(mask, value).otherwise(F.col(col)))

@@ -81,6 +81,9 @@ def test_integrated_run_side_by_side(spark, catalog):
     assert {"rf__probability", "ada__probability", "text_lr__probability", "vote"} <= set(scored.columns)
     assert scored.count() == catalog.count()
     assert 0.0 <= res["ensemble"].first()[0] <= 1.0
+    long = TR.per_model_long(scored, [n for n, _ in res["fitted"]])
+    assert long.count() == 3 * catalog.count()
+    assert {r.model for r in long.select("model").distinct().collect()} == {"rf", "ada", "text_lr"}
 
 
 def test_compare_algorithms_table(spark, catalog):

@@ -123,3 +123,12 @@ def test_relabel_update_and_cached(spark):
     with Cached(u) as c:
         assert c.is_cached and c.count() == 2
     assert not u.is_cached
+
+
+def test_generated_images_p6(spark):
+    df = spark.range(200).withColumnRenamed("id", "product_id")
+    out = transforms.generated_images(df)
+    lo, hi = out.agg(F.min("NumImages"), F.max("NumImages")).first()
+    assert 1 <= lo and hi <= 9
+    again = {r.product_id: r.NumImages for r in transforms.generated_images(df.repartition(3)).collect()}
+    assert again == {r.product_id: r.NumImages for r in out.collect()}
