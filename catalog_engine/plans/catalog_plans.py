@@ -16,7 +16,6 @@ from catalog_engine.sources import catalog as C
 from catalog_engine.sources import generated
 
 W = "WITH " + C.catalog_sql()
-LO, HI = C.STANDIN_TIERS
 
 
 def _lp(spark, d):
