@@ -11,14 +11,14 @@ from catalog_engine.functions import exprs as X
 from catalog_engine.functions import sqltext as Q
 from catalog_engine.operators import text as TX
 from catalog_engine.plans.registry import register
-from catalog_engine.sources.catalog import read_table, spread
+from catalog_engine.sources.catalog import read_table
 
 SPEC = TX.TfidfSpec(pattern=TX.ASCII_TOKEN)
 TRAIN_SHARE_TEST = 0.2
 
 
 def _docs(spark, d):
-    return spread(read_table(spark, d, "documents").select("doc_id", "text"))
+    return TX.by_document(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _split(df, test: bool):
