@@ -70,20 +70,21 @@ def test_save_load_and_feature_importance(spark, catalog, tmp_path):
 
 def test_integrated_run_side_by_side(spark, catalog):
     res = TR.integrated_run(
-        catalog, structured=("rf", "ada"), text=("text_lr",), transfer=(),
+        catalog, structured=("rf", "ada"), text=("text_lr",), transfer=("transfer_rf",),
         overrides={"rf": dict(n_trees=5, max_depth=3), "ada": dict(n_estimators=3),
-                   "text_lr": dict(max_iter=20)})
+                   "text_lr": dict(max_iter=20), "transfer_rf": dict(n_trees=3, max_depth=3)})
     assert not res["failures"]
     scores = {r.model: r for r in res["scores"].collect()}
-    assert set(scores) == {"rf", "ada", "text_lr"}
-    assert {r.family for r in scores.values()} == {"structured", "text"}
+    assert set(scores) == {"rf", "ada", "text_lr", "transfer_rf"}
+    assert {r.family for r in scores.values()} == {"structured", "text", "transfer"}
     scored = res["scored"]
     assert {"rf__probability", "ada__probability", "text_lr__probability", "vote"} <= set(scored.columns)
     assert scored.count() == catalog.count()
     assert 0.0 <= res["ensemble"].first()[0] <= 1.0
     long = TR.per_model_long(scored, [n for n, _ in res["fitted"]])
-    assert long.count() == 3 * catalog.count()
-    assert {r.model for r in long.select("model").distinct().collect()} == {"rf", "ada", "text_lr"}
+    assert long.count() == 4 * catalog.count()
+    assert {r.model for r in long.select("model").distinct().collect()} == {
+        "rf", "ada", "text_lr", "transfer_rf"}
 
 
 def test_compare_algorithms_table(spark, catalog):
