@@ -50,3 +50,31 @@ def test_report_accuracy_matches_mean_of_flags(spark, sf_small):
     rep = {r.row: r for r in E.classification_report(df, S.TIERS).collect()}
     acc = df.agg(E.accuracy_pct()).first()[0] / 100.0
     assert rep["accuracy"].precision == pytest.approx(acc, abs=1e-6)
+
+
+def test_hot_part_key_gives_the_same_answer(spark):
+    """One part key holds a third of all lines; the pre-aggregated plan equals the
+    naive row-level join."""
+    from pyspark.sql import functions as F
+    n = 3000
+    lines = spark.range(n).select(
+        F.col("id").alias(S.PRODUCT_ID), F.col("id").alias("l_orderkey"),
+        F.lit(1).alias("l_linenumber"),
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).cast("long").alias("l_partkey"),
+        F.lit(1).cast("long").alias("l_suppkey"),
+        (F.col("id") * 37 % 1000).cast("double").alias(S.PRICE),
+        (F.col("id") % 9).cast("int").alias(S.IMAGES),
+        F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("id") % 3 + 1).cast("int")).alias(S.SOURCE))
+    parts = spark.range(50).select(
+        F.col("id").alias("p_partkey"), F.concat(F.lit("p"), F.col("id").cast("string")).alias(S.NAME),
+        F.concat(F.lit("b"), (F.col("id") % 5).cast("string")).alias(S.BRAND),
+        F.concat(F.lit("g"), (F.col("id") % 2).cast("string")).alias(S.GENDER),
+        F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias(S.COLOR))
+    assert lines.filter(F.col("l_partkey") == 7).count() >= n // 3
+    fast = {r[S.SOURCE]: tuple(r)[1:] for r in stats.source_stats(lines, parts).collect()}
+    cat = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+    naive = cat.groupBy(S.SOURCE).agg(
+        F.count(S.NAME), F.bround(F.avg(S.PRICE), 2), F.bround(F.min(S.PRICE), 2),
+        F.bround(F.max(S.PRICE), 2), F.count_distinct(S.BRAND), F.count_distinct(S.COLOR),
+        F.count_distinct(S.GENDER))
+    assert fast == {r[S.SOURCE]: tuple(r)[1:] for r in naive.collect()}
