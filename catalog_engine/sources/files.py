@@ -78,13 +78,15 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel | None:
-    """The saved pipeline, or None when nothing was trained yet."""
+    """The saved pipeline, or None when nothing was trained yet (the
+    reference asks the user to train first)."""
     try:
-        return PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001 - absent model is a normal state
-        if "does not exist" in str(e) or "Path does not exist" in str(e) or "not found" in str(e).lower():
+        spark.read.text(f"{path.rstrip('/')}/metadata").limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    return PipelineModel.load(path)
 
 
 class Cached:
