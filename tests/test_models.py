@@ -121,3 +121,17 @@ def test_pca_two_components_centred(spark):
     means = out.select(vector_to_array("pca").alias("p")).agg(
         F.avg(F.col("p")[0]), F.avg(F.col("p")[1])).first()
     assert means[0] == pytest.approx(0.0, abs=1e-9) and means[1] == pytest.approx(0.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("name,params", [
+    ("SVM", dict(max_iter=5, n_features=20)),            # Python stages: Fourier features
+    ("GradientBoosting", dict(n_iter=2, max_depth=2)),   # Python stage: margins -> probability
+])
+def test_pipelines_with_python_stages_save_and_load(spark, catalog, tmp_path, name, params):
+    df = M.tier_label(catalog)
+    model = TR.fit(df, name, **params)
+    files.save_model(model, str(tmp_path / name))
+    again = files.load_model(spark, str(tmp_path / name))
+    a = TR.predictions(model, df, name).orderBy(S.PRODUCT_ID).collect()
+    b = TR.predictions(again, df, name).orderBy(S.PRODUCT_ID).collect()
+    assert a == b
