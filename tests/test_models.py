@@ -126,6 +126,7 @@ def test_pca_two_components_centred(spark):
 @pytest.mark.parametrize("name,params", [
     ("SVM", dict(max_iter=5, n_features=20)),            # Python stages: Fourier features
     ("GradientBoosting", dict(n_iter=2, max_depth=2)),   # Python stage: margins -> probability
+    ("ada", dict(n_estimators=3)),                        # Python model: SAMME stumps
 ])
 def test_pipelines_with_python_stages_save_and_load(spark, catalog, tmp_path, name, params):
     df = M.tier_label(catalog)
