@@ -78,3 +78,12 @@ def test_hot_part_key_gives_the_same_answer(spark):
         F.bround(F.max(S.PRICE), 2), F.count_distinct(S.BRAND), F.count_distinct(S.COLOR),
         F.count_distinct(S.GENDER))
     assert fast == {r[S.SOURCE]: tuple(r)[1:] for r in naive.collect()}
+
+
+def test_spread_only_when_few_partitions(spark):
+    from catalog_engine.sources.catalog import spread
+    par = spark.sparkContext.defaultParallelism
+    few = spark.range(100).coalesce(1)
+    many = spark.range(100).repartition(par * 2)
+    assert spread(few).rdd.getNumPartitions() == par
+    assert spread(many) is many          # enough partitions: no extra shuffle
