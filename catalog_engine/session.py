@@ -8,6 +8,7 @@ checkpoint dir). Only ``local_session`` (tests, bench) fills it in when unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -59,7 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
             spark.sparkContext.setCheckpointDir(d)
         return d
     master = spark.sparkContext.master
-    if not (allow_local and master.startswith("local")):
+    if not (allow_local and re.match(r"local(\[|$)", master)):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; a shared folder is required on a cluster")
     d = tempfile.mkdtemp(prefix="ce-ckpt-", dir=os.environ.get("CE_SCRATCH", "/tmp"))
