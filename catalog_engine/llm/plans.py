@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_engine.llm import bpe, fingerprints, quality
+from catalog_engine.llm import bpe, fingerprints, languages, quality, token_files, toxicity
 from catalog_engine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,21 @@ def op2_bpe_round_trip(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+@query
+def op4_token_files(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), word_bpe())
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    return toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
