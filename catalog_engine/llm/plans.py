@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_engine.llm import bpe, fingerprints, languages, quality, token_files, toxicity
+from catalog_engine.llm import bpe, fingerprints, languages, mixing, quality, token_files, toxicity
 from catalog_engine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,14 @@ def op7_language_id(spark, sf_dir):
     return languages.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_source_mixing(spark, sf_dir):
+    return mixing.selection(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_source_mixing"] = mixing.oracle()
+
+
 @query
 def op9_toxicity(spark, sf_dir):
     return toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
