@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_engine.llm import bpe, fingerprints, languages, mixing, quality, token_files, toxicity
+from catalog_engine.llm import bpe, fingerprints, languages, linededup, mixing, quality, token_files, toxicity
 from catalog_engine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op4_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
+@query
+def op5_line_dedup(spark, sf_dir):
+    return linededup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
