@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_engine.llm import bpe, fingerprints, languages, linededup, mixing, quality, token_files, toxicity
+from catalog_engine.llm import bpe, fingerprints, languages, linededup, mixing, neardedup, quality, token_files, toxicity
 from catalog_engine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op2_bpe_round_trip(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+@query
+def op3_minhash_near_dedup(spark, sf_dir):
+    return neardedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), word_bpe())
