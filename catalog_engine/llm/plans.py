@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_engine.llm import bpe, fingerprints, languages, linededup, mixing, neardedup, quality, token_files, toxicity
+from catalog_engine.llm import bpe, fingerprints, languages, linededup, lm, mixing, neardedup, quality, token_files, toxicity
 from catalog_engine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ ORACLES["op8_source_mixing"] = mixing.oracle()
 @query
 def op9_toxicity(spark, sf_dir):
     return toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_lm_scoring(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
