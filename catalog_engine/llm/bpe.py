@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from catalog_engine.llm.common import id_text, lists, map_slices
+from catalog_engine.llm.common import lists, map_slices
 
 CACHE_ENTRIES = 400_000
 NO_PAIR = np.int64(2**62)
@@ -275,8 +276,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the library's decoded text of each row's ids."""
-    rows = encoded.select("doc_id", "ids")
+    """The rows of encoded with another column decoded: the library's decoded text of their ids."""
+    names = [*encoded.columns, "decoded"]
 
     def run(batches):
         vocab = vocabulary(path)
@@ -284,9 +285,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [vocab.decode(ids) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+
+
+def word_bpe() -> str:
+    """The tokenizer file that the queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -297,5 +304,3 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
-
-__all__ = ["Encoder", "Vocabulary", "decode", "digests", "encode", "id_text", "vocabulary"]

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalog_engine.session import ensure_checkpoint_dir
 
@@ -54,14 +55,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
-               schema: str, column: str = "text") -> DataFrame:
+               schema: str | StructType, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded text size. make() runs once in each task and
     returns the function of a slice."""
 
     def run(batches):
         one = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield one(part)
 
     return df.mapInArrow(run, schema)

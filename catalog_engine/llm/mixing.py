@@ -2,10 +2,10 @@
 
 Sources form a tree: domain, language, source. A total token budget flows down from the root
 by the nodes' weights. A child cannot take more than its supply (its documents' tokens times
-max_epochs); what it leaves goes to its siblings by their weights, and only what no sibling
-can take was never given to that branch: a parent's share is limited by its children's
-supply before it is dealt out among the parent's own siblings. All shares are whole numbers
-in exact integer arithmetic; a node's undividable rest (under one token per child) is left.
+max_epochs); what it leaves goes to its siblings by their weights. Only what all siblings
+together cannot take goes to the parent's siblings: a parent's share is limited by the sum of
+its children's supply. All shares are whole numbers in exact integer arithmetic; a node's
+undividable rest (under one token for each child) is left.
 
 A leaf whose budget is b and whose documents have s tokens takes b div s whole epochs, then
 a prefix of the next epoch: documents in the order of md5(seed, epoch, doc_id) while their
@@ -44,13 +44,17 @@ def domain_of(source: Column) -> Column:
     return F.when(source.isNull() | (source == ""), "unknown").when(group == 0, "web").when(group == 1, "books").otherwise("forum")
 
 
+def _levels(domain: Column | None) -> list[Column]:
+    """The path of a row in the tree."""
+    domain = domain_of(F.col("source")) if domain is None else domain
+    return [F.coalesce(c.cast("string"), F.lit("unknown")).alias(n)
+            for n, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")), strict=True)]
+
+
 def token_table(docs: DataFrame, domain: Column | None = None) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens): tokens are runs without ASCII white space."""
-    domain = domain_of(F.col("source")) if domain is None else domain
-    known = [F.coalesce(c.cast("string"), F.lit("unknown")).alias(n)
-             for n, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")), strict=True)]
     tokens = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^ \\t-\\r]+"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *known, tokens.cast("long").alias("n_tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_levels(domain), tokens.cast("long").alias("n_tokens"))
 
 
 def _weight(weights: dict[tuple, int], depth: int) -> Column:
@@ -118,10 +122,9 @@ def epoch_key(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
 
 
-def selection(docs: DataFrame, weights: dict[tuple, int] = WEIGHTS, seed: int = SEED,
-              share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, domain: Column | None = None) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, copies) of every row: in how many epochs it is taken."""
-    tokens = stored(token_table(docs, domain), "mixing-tokens")
+def cutoffs(tokens: DataFrame, weights: dict[tuple, int], seed: int, share_percent: int, max_epochs: int) -> DataFrame:
+    """(domain, lang, source, epochs, end_bin, last_key) of every leaf: its whole epochs, and
+    where its prefix of the next one ends."""
     plan = stored(leaf_budgets(tokens, weights, share_percent, max_epochs).select(
         *LEVELS, F.expr("if(supply > 0, budget div supply, 0)").alias("epochs"),
         F.expr("if(supply > 0, budget % supply, 0)").alias("rest")), "mixing-plan")
@@ -136,12 +139,36 @@ def selection(docs: DataFrame, weights: dict[tuple, int] = WEIGHTS, seed: int =
     by_key = last.groupBy(*LEVELS, "rest", "before", "key").agg(F.sum("n_tokens").alias("in_key"))
     within = Window.partitionBy(*LEVELS).orderBy("key")  # one bin of 4096
     cut = by_key.withColumn("upto", F.col("before") + F.sum("in_key").over(within)).where(F.col("upto") <= F.col("rest"))
-    cuts = stored(plan.join(ends, list(LEVELS), "left").join(
+    return stored(plan.join(ends, list(LEVELS), "left").join(
         cut.groupBy(*LEVELS).agg(F.max("key").alias("last_key")), list(LEVELS), "left")
         .select(*LEVELS, "epochs", "end_bin", F.coalesce("last_key", F.lit("")).alias("last_key")), "mixing-cuts")
-    out = join_plan(tokens, cuts, list(LEVELS)).withColumn("key", epoch_key(seed))
-    in_prefix = F.col("end_bin").isNull() | (F.left("key", F.lit(BIN_DIGITS)) < F.col("end_bin")) | (F.col("key") <= F.col("last_key"))
-    return out.select("doc_id", *LEVELS, "n_tokens", (F.col("epochs") + in_prefix.cast("long")).alias("copies"))
+
+
+def _copies(seed: int) -> Column:
+    """Epochs in which a row (doc_id, joined with its leaf's cut-off) is taken."""
+    key = epoch_key(seed)
+    in_prefix = F.col("end_bin").isNull() | (F.left(key, F.lit(BIN_DIGITS)) < F.col("end_bin")) | (key <= F.col("last_key"))
+    return F.col("epochs") + in_prefix.cast("long")
+
+
+def selection(docs: DataFrame, weights: dict[tuple, int] = WEIGHTS, seed: int = SEED,
+              share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, domain: Column | None = None) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, copies) of every row: in how many epochs it is taken."""
+    tokens = stored(token_table(docs, domain), "mixing-tokens")
+    cuts = cutoffs(tokens, weights, seed, share_percent, max_epochs)
+    return join_plan(tokens, cuts, list(LEVELS)).select("doc_id", *LEVELS, "n_tokens", _copies(seed).alias("copies"))
+
+
+def take(docs: DataFrame, weights: dict[tuple, int] = WEIGHTS, seed: int = SEED,
+         share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, domain: Column | None = None) -> DataFrame:
+    """The rows of docs, each as often as selection() takes it. Rows find their leaf's cut-off
+    by a join with the small table of leaves, so texts aren't shuffled."""
+    tokens = stored(token_table(docs, domain), "mixing-tokens")
+    cuts = cutoffs(tokens, weights, seed, share_percent, max_epochs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), *_levels(domain))
+    chosen = join_plan(rows, cuts, list(LEVELS)).withColumn("_copies", _copies(seed)).where("_copies > 0")
+    return chosen.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def oracle(weights: dict[tuple, int] = WEIGHTS, seed: int = SEED, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS) -> str:

@@ -120,7 +120,8 @@ def buckets(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n, set, buckets, sketch) of every row; set is a 128-bit digest, null if empty."""
+    """(doc_id, key, n, set, buckets, sketch) of every row; key is a hash of id and text, set a
+    128-bit digest, null if empty."""
     kinds = [pa.int64(), pa.binary()]
 
     def make():
@@ -136,13 +137,14 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 coordinates = sketch(elements, settings.size)
                 keys.append(buckets(coordinates))
                 short.append(mix(coordinates).astype(np.uint8).tobytes())
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, kinds[0]), pa.array(digest, kinds[1]),
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, kinds[0]), pa.array(digest, kinds[1]),
                                                lists(keys, pa.int64()), pa.array(short, kinds[1])],
-                                              ["doc_id", "n", "set", "buckets", "sketch"])
+                                              ["doc_id", "key", "n", "set", "buckets", "sketch"])
 
         return one
 
-    return map_slices(id_text(docs), make, "doc_id long, n long, set binary, buckets array<long>, sketch binary")
+    rows = id_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    return map_slices(rows, make, "doc_id long, key long, n long, set binary, buckets array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
@@ -252,8 +254,9 @@ def _groups(rows: pa.Table, starts: np.ndarray, settings: Settings):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, key, n, label, component_id) of every row: label numbers the component of a row
+    whose set isn't empty, component_id is its smallest id."""
     rows = stored(sketches(docs, settings), "near-sketches")
     # numbered once and written, so numbers stay
     classes = stored(rows.where(F.col("set").isNotNull()).groupBy("set").agg(
@@ -268,7 +271,25 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     labels = components(links.unionByName(more))
     named = classes.select("node", "set", "doc_id").join(labels, "node", "left").select("set", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(smallest, "label").select("set", "component_id")
-    out = rows.select("doc_id", "n", "set").join(by_set, "set", "left")
-    own = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    by_set = named.select("set", "label").join(smallest, "label")
+    return rows.select("doc_id", "key", "n", "set").join(by_set, "set", "left").select(
+        "doc_id", "key", "n", "label", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    return groups(docs, settings).select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                                         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row of the smallest id
+    stays (of rows equal in id and text one); rows with the empty set all stay."""
+    found = groups(docs, settings)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = found.where("n > 0").groupBy("label").agg(first.alias("_first")).select(F.col("_first.key").alias("_key"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("_key"), (F.regexp_count(text, F.lit("[^ \\t-\\r]")) == 0).alias("_empty"))
+    chosen = rows.where(~F.col("_empty")).join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return chosen.select("_row.*").unionByName(rows.where("_empty").select("_row.*"))

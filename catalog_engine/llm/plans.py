@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from catalog_engine.llm import bpe, fingerprints, languages, linededup, lm, mixing, neardedup, quality, token_files, toxicity
 from catalog_engine.llm.common import table
 
@@ -18,12 +19,6 @@ def query(fn):
     return fn
 
 
-def word_bpe() -> str:
-    """The tokenizer file that the contracts name."""
-    import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query
 def op1_document_fingerprints(spark, sf_dir):
     return fingerprints.digests(table(spark, sf_dir, "documents"))
@@ -31,7 +26,7 @@ def op1_document_fingerprints(spark, sf_dir):
 
 @query
 def op2_bpe_round_trip(spark, sf_dir):
-    return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.word_bpe())
 
 
 @query
@@ -41,7 +36,7 @@ def op3_minhash_near_dedup(spark, sf_dir):
 
 @query
 def op4_token_files(spark, sf_dir):
-    return token_files.round_trip(table(spark, sf_dir, "documents"), word_bpe())
+    return token_files.round_trip(table(spark, sf_dir, "documents"), bpe.word_bpe())
 
 
 @query
@@ -75,3 +70,12 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_lm_scoring(spark, sf_dir):
     return lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -266,6 +266,36 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model:
     return fit([(r["words"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
+class Scorer:
+    """Scores and offending offsets of texts, in one task."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.feature = WordFeatures(model.lexicon).__getitem__
+        self.quiet: dict[int, float] = {}  # score of a text without lexicon words, by its number of words
+
+    def row(self, text: str | None) -> tuple[float, list[dict[str, int]]]:
+        text = text or ""
+        lower = text.lower()
+        features = list(map(self.feature, WORD.findall(lower)))
+        if not any(features):
+            n = min(len(features), 64)  # beyond that the marginals no longer change
+            if n not in self.quiet:
+                self.quiet[n] = document_score(self.model, marginals(self.model, np.zeros(n, dtype=np.int64)))
+            return self.quiet[n], []
+        p = marginals(self.model, np.array(features, dtype=np.int64))
+        # a letter whose lower case is longer moves the offsets: they then count in the lower-cased text
+        places = [m.span() for m in WORD.finditer(lower)]
+        spans, last = [], -2
+        for i in np.flatnonzero(p >= 0.5).tolist():
+            if i == last + 1:
+                spans[-1]["stop"] = places[i][1]
+            else:
+                spans.append({"start": places[i][0], "stop": places[i][1]})
+            last = i
+        return document_score(self.model, p), spans
+
+
 SCHEMA = "doc_id long, score double, predicted int, spans array<struct<start:int,stop:int>>"
 
 
@@ -274,31 +304,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def make():
-        feature = WordFeatures(model.lexicon).__getitem__
-        quiet: dict[int, float] = {}  # score of a text without lexicon words, by its number of words
-
-        def text_row(text: str):
-            lower = text.lower()
-            words = WORD.findall(lower)
-            features = list(map(feature, words))
-            if not any(features):
-                n = min(len(words), 64)  # beyond that the marginals no longer change
-                if n not in quiet:
-                    quiet[n] = document_score(model, marginals(model, np.zeros(n, dtype=np.int64)))
-                return quiet[n], []
-            p = marginals(model, np.array(features, dtype=np.int64))
-            places = [m.span() for m in WORD.finditer(text)] if len(lower) == len(text) else [m.span() for m in WORD.finditer(lower)]
-            spans, last = [], -2
-            for i in np.flatnonzero(p >= 0.5).tolist():
-                if i == last + 1:
-                    spans[-1]["stop"] = places[i][1]
-                else:
-                    spans.append({"start": places[i][0], "stop": places[i][1]})
-                last = i
-            return document_score(model, p), spans
+        scorer = Scorer(model)
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [text_row(t) for t in part.column("text").to_pylist()]
+            rows = [scorer.row(t) for t in part.column("text").to_pylist()]
             scores = [s for s, _ in rows]
             return pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()),
@@ -309,6 +318,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_slices(id_text(docs), make, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, unchanged, whose text isn't predicted toxic."""
+
+    def make():
+        scorer = Scorer(model)
+        return lambda part: part.filter(pa.array([scorer.row(t)[0] < 0.5 for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return map_slices(docs, make, docs.schema)
+
+
 def tag(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the rows that aren't held out, score every row."""
     out = score(docs, learn(docs, labels))
