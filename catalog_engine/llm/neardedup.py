@@ -11,9 +11,10 @@ Work goes by classes of equal sets, so copies cost one row. Links between classe
 
 1. Every bucket sends its members to its smallest and largest node only (no pairs among the
    members). A member verifies the hub that its sketch agrees with best; components follow.
-2. Buckets that still hold several components compare members of different components by
-   sketch, in blocks of bounded size, and every pair whose agreement is not 6.5 standard
-   deviations below the threshold is verified.
+2. Buckets that still hold several components compare members of different components, in
+   blocks of bounded size: by sketch, and by full set where the agreement is not 6.5 standard
+   deviations below the threshold. A pair is compared in the first bucket that it shares.
+   A block hands on only links that join components there, at most one for each member.
 
 Verification compares the full sets. Pairs inside a component need no further check, so no
 group is expanded into all its pairs, and no bucket is capped.
@@ -147,8 +148,9 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     return map_slices(rows, make, "doc_id long, key long, n long, set binary, buckets array<long>, sketch binary")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
-    """(node, elements) of the classes in needed (node, doc_id, set), from one document each."""
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """(node, elements) of the given nodes, from one document of each class."""
+    needed = classes.join(nodes, "node").select("node", "doc_id", "set")
     rows = id_text(docs).join(needed, "doc_id")
 
     def make():
@@ -162,14 +164,14 @@ def _sets(docs: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
 
         return one
 
-    return map_slices(rows.select("node", "set", "text"), make, "node long, elements array<long>").dropDuplicates(["node"])
+    return stored(map_slices(rows.select("node", "set", "text"), make, "node long, elements array<long>").dropDuplicates(["node"]), "near-sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     pairs = stored(pairs, "near-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_sets(docs, classes.join(nodes, "node").select("node", "doc_id", "set"), settings), "near-sets")
+    sets = _sets(docs, classes, nodes, settings)
     with_sets = (pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("_a")), "a")
                  .join(sets.select(F.col("node").alias("b"), F.col("elements").alias("_b")), "b"))
     inter = F.size(F.array_intersect("_a", "_b"))
@@ -207,17 +209,20 @@ def agreement(a: str, b: str) -> Column:
     return agree(a, b)
 
 
-def _block_pairs(classes: DataFrame, members: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of different components inside a bucket whose sketches don't rule a link out."""
+def _block_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between different components that share a bucket: enough of them to join
+    the components that links join."""
     known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = (known.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_members"))
              .where(F.col("_low") != F.col("_high")).select("bucket", F.ceil(F.col("_members") / BLOCK).cast("int").alias("_blocks")))
+    entries = stored(known.join(mixed, "bucket"), "near-mixed")
+    sets = _sets(docs, classes, entries.select("node").distinct(), settings)
+    rows = entries.join(classes.select("node", "sketch", "buckets").join(sets, "node"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    rows = known.join(mixed, "bucket").join(classes.select("node", "n", "sketch"), "node")
     spread = (rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-              .select("bucket", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "label", "n", "sketch"))
-    return (spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-            .mapInArrow(lambda batches: _compare(batches, settings), "a long, b long").distinct())
+              .select("bucket", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "label", "sketch", "buckets", "elements"))
+    return stored(spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+                  .mapInArrow(lambda batches: _compare(batches, settings), "a long, b long"), "near-links")
 
 
 def _compare(batches, settings: Settings):
@@ -228,28 +233,47 @@ def _compare(batches, settings: Settings):
         held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
         key = np.column_stack([held.column(c).to_numpy() for c in ("bucket", "low", "high")])
         starts = np.concatenate([[0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1))]) if len(key) else np.zeros(1, int)
-        yield from _groups(held, starts, settings)
+        for start, stop in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            yield from _group_links(held.slice(start, stop - start), settings)
         held = held.slice(int(starts[-1]))
     if held is not None and held.num_rows:
-        yield from _groups(held.combine_chunks(), np.array([0, held.num_rows]), settings)
+        yield from _group_links(held, settings)
 
 
-def _groups(rows: pa.Table, starts: np.ndarray, settings: Settings):
-    node, label, n, own = (rows.column(c).to_numpy() for c in ("node", "label", "n", "own"))
-    low, high = (rows.column(c).to_numpy() for c in ("low", "high"))
+def _group_links(rows: pa.Table, settings: Settings):
+    """Verified links of one block or of two, without those inside a component."""
+    rows = rows.combine_chunks()
+    node, label, own = (rows.column(c).to_numpy() for c in ("node", "label", "own"))
+    label, two_blocks = label.copy(), rows.column("low")[0] != rows.column("high")[0]
+    if (label == label[0]).all():
+        return
+    bucket = rows.column("bucket")[0].as_py()
     marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+    bands = rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    elements = rows.column("elements").combine_chunks()
+    flat, ends = elements.flatten().to_numpy().view(np.uint64), np.cumsum(elements.value_lengths().to_numpy())
+    n = np.diff(ends, prepend=0)
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
     left, right = [], []
-    for start, stop in zip(starts, starts[1:], strict=False):
-        for i in range(start, stop):
-            others = np.arange(i + 1, stop)
-            fits = label[others] != label[i]
-            if low[i] != high[i]:
-                fits &= own[others] != own[i]  # pairs inside a block are the diagonal's work
-            fits &= 100 * np.minimum(n[others], n[i]) >= settings.percent * np.maximum(n[others], n[i])
-            others = others[fits]
-            others = others[(marks[others] == marks[i]).sum(axis=1) >= settings.least_agreement]
-            left += np.minimum(node[others], node[i]).tolist()
-            right += np.maximum(node[others], node[i]).tolist()
+    for i in range(len(node) - 1):
+        others = np.arange(i + 1, len(node))
+        fits = (label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= settings.percent * np.maximum(n[others], n[i]))
+        if two_blocks:
+            fits &= own[others] != own[i]  # pairs inside a block are compared where it meets itself
+        others = others[fits]
+        others = others[(marks[others] == marks[i]).sum(axis=1) >= settings.least_agreement]
+        others = others[(bands[others] == bands[i]).argmax(axis=1) == band]  # else an earlier bucket has the pair
+        if not len(others):
+            continue
+        mine = flat[ends[i] - n[i]:ends[i]]
+        theirs = np.concatenate([flat[ends[j] - n[j]:ends[j]] for j in others.tolist()])
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(n[others]) - n[others])
+        for j in others[100 * both >= settings.percent * (n[others] + n[i] - both)].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                left.append(min(node[i], node[j]))
+                right.append(max(node[i], node[j]))
     if left:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -267,7 +291,7 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     members = stored(entries.join(shared, "bucket"), "near-members")
     links = _verified(_hub_pairs(classes, members, settings), docs, classes, settings)
     labels = components(links)
-    more = _verified(_block_pairs(classes, members, labels, settings), docs, classes, settings)
+    more = _block_links(docs, classes, members, labels, settings)
     labels = components(links.unionByName(more))
     named = classes.select("node", "set", "doc_id").join(labels, "node", "left").select("set", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
