@@ -51,7 +51,8 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = np.where(is_letter, codes, BLANK).astype(np.uint64)
     kept = is_letter.copy()
     kept[1:] |= is_letter[:-1]  # one blank after each run of letters
-    codes = np.concatenate([[BLANK], codes[kept], [BLANK]]).astype(np.uint64)
+    codes = codes[kept]
+    codes = np.concatenate([[BLANK], codes, [BLANK][:int(codes[-1] != BLANK)]]).astype(np.uint64)
     packed = codes[:len(codes) - GRAM + 1]
     for k in range(1, GRAM):
         packed = packed << np.uint64(21) | codes[k:len(codes) - GRAM + 1 + k]
@@ -137,8 +138,8 @@ def learn(docs: DataFrame, per_language: int = 1500) -> dict[str, list[float]]:
 def predict(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
     """(doc_id, lang_pred, score): the nearest prototype and its cosine (0 if negative)."""
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names], dtype=np.float64).reshape(len(names), -1)
-    unit = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32) if names else matrix
+    matrix = np.array([prototypes[n] for n in names] or np.zeros((0, DIMENSIONS)), dtype=np.float64)
+    unit = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def make():
         def one(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -152,10 +152,14 @@ def choose_lexicon(toxic: list[set[str]], clean: list[set[str]], most: int = 200
             break
         chosen.append(entry)
         open_docs = [d for d in open_docs if entry not in d]
-    # whole words as frequent as the chosen entries, though their documents are covered already
-    bar = sorted(in_toxic[e] for e in chosen)[len(chosen) // 2] / 2 if chosen else 0
-    more = sorted(e for e in kept if not e.endswith("*") and in_toxic[e] >= bar and not any(x in chosen for x in entries(e)))
-    return chosen + (more[:most] if chosen else [])
+    # entries as frequent as the chosen ones, though their documents are covered already
+    bar = sorted(in_toxic[e] for e in chosen)[len(chosen) // 2] / 2 if chosen else math.inf
+    rest = sorted((e for e in kept if in_toxic[e] >= bar), key=lambda e: (-in_toxic[e], e.endswith("*"), -len(e), e))
+    for e in rest:
+        bare = e.rstrip("*")
+        if len(chosen) < most and not any(bare.startswith(x.rstrip("*")) or x.startswith(bare) for x in chosen):
+            chosen.append(e)
+    return chosen
 
 
 def _windows(rows: list[tuple[np.ndarray, int]], width: int = 24) -> tuple[np.ndarray, np.ndarray]:
