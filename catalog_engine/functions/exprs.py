@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Multipliers of the multiplicative hash behind every seeded
-# draw. One multiplier per derived column so the draws do not correlate.
-HASH_MOD_KEY = 1000003
-HASH_RANGE = 4294967296
+# Seeds of the hash draws, one for each derived column so that draws do not
+# correlate.
 MULT_CUSTOMERS = 2654435761
 MULT_RATE = 2246822519
 MULT_SPLIT = 3266489917
 MULT_SAMPLE = 2869860233
+#: Hexadecimal digits of a draw: 52 bits, exact in a double.
+DRAW_DIGITS = 13
 
 
 def col(c) -> Column:
@@ -38,28 +38,26 @@ def price_tier(price, lo: float, hi: float) -> Column:
             .otherwise(F.lit("High")))
 
 
-def hash_unit(key, multiplier: int) -> Column:
-    """A deterministic draw in [0, 1) from a non-negative integer key.
-
-    The inner modulo keeps the product inside BIGINT (no ANSI overflow).
-    """
-    k = F.pmod(col(key).cast("long"), F.lit(HASH_MOD_KEY))
-    return F.pmod(k * F.lit(multiplier), F.lit(HASH_RANGE)) / F.lit(float(HASH_RANGE))
+def hash_unit(key, seed: int) -> Column:
+    """A deterministic draw in [0, 1) from a key of any simple type: the first 52 bits of
+    md5(key|seed). Every key has its own draw, however many keys there are."""
+    digest = F.md5(F.concat(col(key).cast("string"), F.lit(f"|{seed}")).cast("binary"))
+    return F.conv(F.left(digest, F.lit(DRAW_DIGITS)), 16, 10).cast("double") / F.lit(float(16 ** DRAW_DIGITS))
 
 
-def uniform_int(key, multiplier: int, lo: int, hi: int) -> Column:
+def uniform_int(key, seed: int, lo: int, hi: int) -> Column:
     """Integer draw in [lo, hi), like ``randint(lo, hi)``."""
-    return (F.lit(lo) + F.floor(hash_unit(key, multiplier) * F.lit(float(hi - lo)))).cast("int")
+    return (F.lit(lo) + F.floor(hash_unit(key, seed) * F.lit(float(hi - lo)))).cast("int")
 
 
-def uniform_double(key, multiplier: int, lo: float, hi: float) -> Column:
+def uniform_double(key, seed: int, lo: float, hi: float) -> Column:
     """Real draw in [lo, hi), like ``uniform(lo, hi)``."""
-    return F.lit(lo) + hash_unit(key, multiplier) * F.lit(hi - lo)
+    return F.lit(lo) + hash_unit(key, seed) * F.lit(hi - lo)
 
 
-def is_test_row(key, test_share: float, multiplier: int = MULT_SPLIT) -> Column:
+def is_test_row(key, test_share: float, seed: int = MULT_SPLIT) -> Column:
     """Shuffled, unstratified hold-out membership that survives repartitioning."""
-    return hash_unit(key, multiplier) < F.lit(float(test_share))
+    return hash_unit(key, seed) < F.lit(float(test_share))
 
 
 def distinct_incl_null(c) -> Column:

@@ -6,7 +6,7 @@ namesake in ``catalog_engine.functions.exprs`` computes in Spark.
 
 from __future__ import annotations
 
-from catalog_engine.functions.exprs import HASH_MOD_KEY, HASH_RANGE
+from catalog_engine.functions.exprs import DRAW_DIGITS
 
 
 def dbl(x: float) -> str:
@@ -14,21 +14,21 @@ def dbl(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-def hash_unit(key: str, multiplier: int) -> str:
-    return (f"(((({key}) % {HASH_MOD_KEY}) * {multiplier}) % {HASH_RANGE}) "
-            f"/ {dbl(HASH_RANGE)}")
+def hash_unit(key: str, seed: int) -> str:
+    return (f"(CAST('0x' || left(md5(CAST({key} AS VARCHAR) || '|{seed}'), {DRAW_DIGITS}) AS BIGINT) "
+            f"/ {dbl(16 ** DRAW_DIGITS)})")
 
 
-def uniform_int(key: str, multiplier: int, lo: int, hi: int) -> str:
-    return f"CAST({lo} + floor({hash_unit(key, multiplier)} * {dbl(hi - lo)}) AS INTEGER)"
+def uniform_int(key: str, seed: int, lo: int, hi: int) -> str:
+    return f"CAST({lo} + floor({hash_unit(key, seed)} * {dbl(hi - lo)}) AS INTEGER)"
 
 
-def uniform_double(key: str, multiplier: int, lo: float, hi: float) -> str:
-    return f"({dbl(lo)} + {hash_unit(key, multiplier)} * {dbl(hi - lo)})"
+def uniform_double(key: str, seed: int, lo: float, hi: float) -> str:
+    return f"({dbl(lo)} + {hash_unit(key, seed)} * {dbl(hi - lo)})"
 
 
-def is_test_row(key: str, test_share: float, multiplier: int) -> str:
-    return f"({hash_unit(key, multiplier)} < {dbl(test_share)})"
+def is_test_row(key: str, test_share: float, seed: int) -> str:
+    return f"({hash_unit(key, seed)} < {dbl(test_share)})"
 
 
 def price_tier(price: str, lo: float, hi: float) -> str:

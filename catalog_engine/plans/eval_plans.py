@@ -1,4 +1,4 @@
-"""Evaluation queries over stand-in model outputs (``sources.scored``)."""
+"""Evaluation queries over the outputs of the frequency-table models (``sources.scored``)."""
 
 from __future__ import annotations
 
@@ -15,18 +15,18 @@ from catalog_engine.sources import scored as SC
 
 WS = "WITH " + C.catalog_sql() + "," + SC.scored_sql()
 T = S.TIERS
-RF = "p_random_forest"
+RF = f"p_{SC.FIRST}"  # the model that single-model queries look at
 ORDER = ["product_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "Price"]
 ORDER_SQL = ", ".join(ORDER)
 LBL = SC.label_of
 
 
-def _scored(spark, d):
-    return SC.scored(C.with_tier(C.lines(spark, d)))
+def _scored(spark, d, models=None):
+    return SC.scored(C.with_tier(C.lines(spark, d)), C.parts(spark, d), models)
 
 
 def _rf(spark, d, split: str | None = "test"):
-    df = E.with_confidence(_scored(spark, d), RF, T)
+    df = E.with_confidence(_scored(spark, d, [SC.FIRST]), RF, T)
     return df.filter(F.col("split") == split) if split else df
 
 
@@ -132,7 +132,7 @@ def m26_confidence_vs_correct(spark, d):
     return E.confidence_vs_correct(_rf(spark, d))
 
 
-_VOTE = [SC.model_index(m) for m in SC.ENSEMBLE]
+_VOTE = [SC.model_index(m) for m in SC.VOTERS[:SC.MAX_VOTERS]]
 
 
 def _vote_sql() -> str:
@@ -143,8 +143,8 @@ vote AS (SELECT *, {LBL('CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 TH
 
 
 def _vote(spark, d):
-    df = _scored(spark, d).filter(F.col("split") == "test")
-    return E.soft_vote(df, [f"p_{m}" for m in SC.ENSEMBLE], T, max_models=5)
+    df = _scored(spark, d, SC.VOTERS).filter(F.col("split") == "test")
+    return E.soft_vote(df, [f"p_{m}" for m in SC.VOTERS], T, max_models=SC.MAX_VOTERS)
 
 
 @register("m12_soft_vote", f"""{WS}{_vote_sql()}

@@ -25,7 +25,7 @@ REVENUE = "ExpectedRevenue"
 TIERS = ["Low", "Medium", "High"]
 
 CATALOG_SCHEMA = T.StructType([
-    T.StructField(PRODUCT_ID, T.LongType(), False),
+    T.StructField(PRODUCT_ID, T.StringType(), False),
     T.StructField(NAME, T.StringType()),
     T.StructField(BRAND, T.StringType()),
     T.StructField(GENDER, T.StringType()),
@@ -60,7 +60,7 @@ IMAGE_SCHEMA = T.StructType([
 ])
 
 PREDICTION_SCHEMA = T.StructType([
-    T.StructField(PRODUCT_ID, T.LongType(), False),
+    T.StructField(PRODUCT_ID, T.StringType(), False),
     T.StructField("label", T.StringType()),
     T.StructField("prediction", T.StringType()),
     T.StructField("probability", T.ArrayType(T.DoubleType())),

@@ -2,7 +2,7 @@
 
 Stand-in mapping (one catalog row per order line):
 
-    product_id   l_orderkey*8000000 + l_partkey*8 + l_linenumber
+    product_id   l_orderkey-l_partkey-l_linenumber (text)
     ProductName  p_name            ProductBrand  p_brand
     Gender       p_type            PrimaryColor  first word of p_name
     Price        l_extendedprice   NumImages     int(l_quantity)
@@ -43,7 +43,7 @@ SINGLE_SOURCE_TIERS = (50.0, 150.0)
 STANDIN_TIERS = (35000.0, 70000.0)
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-# Sort key that makes ties deterministic: product_id is not quite unique.
+# Sort key that makes ties deterministic: rows may repeat a product_id.
 ROW_ORDER = [S.PRODUCT_ID, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.PRICE]
 
 
@@ -51,20 +51,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than there are cores.
-
-    A small file with few row groups gives few scan tasks; for heavy per-row
-    work (tokenising whole texts) that leaves cores idle. Large inputs have
-    many row groups, so this never adds a shuffle at scale.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
-
-
 def product_id_expr() -> Column:
-    return (F.col("l_orderkey") * F.lit(8000000) + F.col("l_partkey") * F.lit(8)
-            + F.col("l_linenumber").cast("long"))
+    """The three keys as text: no packing that larger keys could overflow."""
+    return F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +165,7 @@ def _sql_by_source(pick) -> str:
 
 def catalog_sql(tiers=STANDIN_TIERS) -> str:
     """``WITH`` body defining ``catalog`` with the same columns as ``catalog()``."""
-    pid = "(l_orderkey * 8000000 + l_partkey * 8 + l_linenumber)"
+    pid = "concat_ws('-', l_orderkey, l_partkey, l_linenumber)"
     cust = _sql_by_source(lambda r: Q.uniform_int(pid, X.MULT_CUSTOMERS, r[0], r[1]))
     rate = _sql_by_source(lambda r: Q.uniform_double(pid, X.MULT_RATE, r[2], r[3]))
     price = "CASE WHEN isnan(l_extendedprice) THEN NULL ELSE l_extendedprice END"

@@ -55,8 +55,10 @@ def _decode_pair(pdf: pd.DataFrame) -> pd.DataFrame:
         labels = np.full(n, -1, dtype=np.int32)
         for lp, lraw in files.items():
             if struct.unpack(">I", lraw[:4])[0] == IDX_LABELS_MAGIC:
-                ln = min(struct.unpack(">I", lraw[4:8])[0], n)
-                labels[:ln] = np.frombuffer(lraw, dtype=np.uint8, offset=8, count=ln)
+                ln = struct.unpack(">I", lraw[4:8])[0]
+                if ln != n:
+                    raise ValueError(f"{lp}: {ln} labels for {n} images")
+                labels[:] = np.frombuffer(lraw, dtype=np.uint8, offset=8, count=ln)
         base = np.int64(zlib.crc32(path.encode()) & 0x7FFFFFFF) << np.int64(32)
         out.append(pd.DataFrame({"image_id": base + np.arange(n, dtype=np.int64),
                                  "label": labels, "pixels": list(pix)}))

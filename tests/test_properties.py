@@ -23,12 +23,12 @@ def test_shares_sum_to_100(spark, sf_small):
 
 
 def test_vote_probabilities_sum_to_one_and_confusion_total(spark, sf_small):
-    df = SC.scored(C.with_tier(C.lines(spark, sf_small)))
-    voted = E.soft_vote(df, [f"p_{m}" for m in SC.ENSEMBLE], S.TIERS)
+    df = SC.scored(C.with_tier(C.lines(spark, sf_small)), C.parts(spark, sf_small))
+    voted = E.soft_vote(df, [f"p_{m}" for m in SC.VOTERS], S.TIERS)
     sums = voted.select(F.aggregate("vote_probability", F.lit(0.0), lambda a, v: a + v).alias("s"))
     lo, hi = sums.agg(F.min("s"), F.max("s")).first()
     assert lo == pytest.approx(1.0) and hi == pytest.approx(1.0)
-    cm = E.confusion_matrix(E.with_confidence(df, "p_random_forest", S.TIERS), S.TIERS)
+    cm = E.confusion_matrix(E.with_confidence(df, f"p_{SC.FIRST}", S.TIERS), S.TIERS)
     assert cm.agg(F.sum(F.col("Low") + F.col("Medium") + F.col("High"))).first()[0] == df.count()
 
 
@@ -45,7 +45,7 @@ def test_part_rollup_equals_row_level_join(spark, sf_small):
 
 
 def test_report_accuracy_matches_mean_of_flags(spark, sf_small):
-    df = E.with_confidence(SC.scored(C.with_tier(C.lines(spark, sf_small))), "p_random_forest",
+    df = E.with_confidence(SC.scored(C.with_tier(C.lines(spark, sf_small)), C.parts(spark, sf_small)), f"p_{SC.FIRST}",
                            S.TIERS)
     rep = {r.row: r for r in E.classification_report(df, S.TIERS).collect()}
     acc = df.agg(E.accuracy_pct()).first()[0] / 100.0
@@ -87,3 +87,36 @@ def test_spread_only_when_few_partitions(spark):
     many = spark.range(100).repartition(par * 2)
     assert spread(few).rdd.getNumPartitions() == par
     assert spread(many) is many          # enough partitions: no extra shuffle
+
+
+def test_voters_differ_and_split_is_independent_of_class(spark, sf_small):
+    df = SC.scored(C.with_tier(C.lines(spark, sf_small)), C.parts(spark, sf_small), SC.VOTERS).persist()
+    assert len(SC.VOTERS) > SC.MAX_VOTERS
+    base = X.argmax(f"p_{SC.FIRST}")
+    for m in SC.VOTERS[1:]:
+        p = F.col(f"p_{m}")
+        same = df.agg(F.avg((X.argmax(f"p_{m}") == base).cast("double")),
+                      F.corr(p[0], F.col(f"p_{SC.FIRST}")[0])).first()
+        assert same[1] is None or abs(same[1]) < 0.9, m
+    shares = {r.label: r.t for r in df.groupBy("label").agg(F.avg((F.col("split") == "test").cast("double")).alias("t")).collect()}
+    assert all(abs(t - 0.2) < 0.05 for t in shares.values())
+    df.unpersist()
+
+
+def test_draws_are_uniform_beyond_a_million_keys(spark):
+    n = 2_500_000
+    keys = spark.range(0, n * 7, 7)
+    draw = X.hash_unit("id", X.MULT_SAMPLE)
+    buckets = keys.groupBy(F.floor(draw * 50).alias("b")).count().collect()
+    assert len(buckets) == 50 and all(abs(r["count"] - n / 50) < 5 * (n / 50) ** 0.5 for r in buckets)
+    assert keys.select(draw.alias("d")).distinct().count() > n - 10
+    sample = [r.id for r in keys.orderBy(draw).limit(400).collect()]
+    assert abs(sum(sample) / 400 - 3.5 * n) < 3.5 * n * 0.15  # not the smallest keys
+    both = keys.agg(F.corr(draw, X.hash_unit("id", X.MULT_SPLIT))).first()[0]
+    assert abs(both) < 0.01
+
+
+def test_product_ids_do_not_collide_on_large_keys(spark):
+    rows = [(1, 8_000_000, 1), (9, 0, 1), (1, 1_000_000, 8), (1, 1_000_001, 0)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int")
+    assert df.select(C.product_id_expr()).distinct().count() == len(rows)
