@@ -25,12 +25,18 @@ def _tier_counts(tiers):
 def catalog_stats(line_df: DataFrame, part_df: DataFrame, tiers=STANDIN_TIERS,
                   digits: int = 6) -> DataFrame:
     """A1: rows, distinct brand/gender/colour (a missing value counts as one),
-    mean/min/max price and the share of each tier, in one pass."""
+    mean/min/max price and the share of each tier, in one pass.
+
+    Distinct values are counted over the (brand, gender, colour) combinations,
+    which are few, not over the parts."""
     rolled = part_rollup(line_df, part_df, [], [
         F.count(F.lit(1)).alias("n"), F.sum(S.PRICE).alias("s"), F.count(S.PRICE).alias("c"),
         F.min(S.PRICE).alias("mn"), F.max(S.PRICE).alias("mx"), *_tier_counts(tiers)])
+    tier_sums = [f"n_{v.lower()}" for v in S.TIERS]
+    small = rolled.groupBy(S.BRAND, S.GENDER, S.COLOR).agg(
+        *[F.sum(c).alias(c) for c in ("n", "s", "c", *tier_sums)], F.min("mn").alias("mn"), F.max("mx").alias("mx"))
     n = F.sum("n")
-    return rolled.agg(
+    return small.agg(
         n.alias("n_rows"),
         X.distinct_incl_null(S.BRAND).alias("n_brands"),
         X.distinct_incl_null(S.GENDER).alias("n_genders"),
@@ -38,7 +44,7 @@ def catalog_stats(line_df: DataFrame, part_df: DataFrame, tiers=STANDIN_TIERS,
         F.bround(F.try_divide(F.sum("s"), F.sum("c")), digits).alias("avg_price"),
         F.min("mn").alias("min_price"),
         F.max("mx").alias("max_price"),
-        *[X.pct(F.sum(f"n_{v.lower()}"), n, digits).alias(f"pct_{v.lower()}") for v in S.TIERS],
+        *[X.pct(F.sum(c), n, digits).alias(f"pct_{v.lower()}") for c, v in zip(tier_sums, S.TIERS, strict=True)],
     )
 
 

@@ -96,25 +96,21 @@ def union_sources(frames: list) -> DataFrame:
 
 
 def unified_sources(tiered_lines: DataFrame, part_df: DataFrame) -> DataFrame:
-    """U1 + P4 + P5 + P6 on the stand-in: three sources with their own column
-    names (split by source flag), renamed, unioned, then harmonised.
+    """U1 + P4 + P5 + P6 on the stand-in: three sources in one table, told apart
+    by the source flag, harmonised. (``union_sources`` unions real files.)
 
-    Source A carries a padded product code and calls price ``price``; source N
-    calls it ``unit_price``; the third source has no image count (defaults to
-    1). Part attributes are attached once, after the union, so the dimension
-    join runs once instead of once per source.
+    Source A carries a padded product code; the third source has no image count
+    (defaults to 1). The table is read once, and part attributes are attached
+    once.
     """
     src = F.col(S.SOURCE)
-    keep = [S.PRODUCT_ID, "l_partkey", S.SOURCE, S.TIER]
-    a = tiered_lines.filter(src == "A").select(
-        *keep, F.format_string("HM%06d", F.col("l_partkey")).alias("product_code"),
-        F.col(S.PRICE).alias("price"), F.col(S.IMAGES).alias("images"))
-    n = tiered_lines.filter(src == "N").select(
-        *keep, F.col(S.PRICE).alias("unit_price"), S.IMAGES)
-    r = tiered_lines.filter(src.isNull() | ~src.isin("A", "N")).select(*keep, S.PRICE)
-    frames = [rename(a, {"price": S.PRICE, "images": S.IMAGES}),
-              rename(n, {"unit_price": S.PRICE}), r]
-    out = default_images(union_sources(frames), 1)
+    is_a, is_n = src == "A", src == "N"
+    # one scan: each row takes the columns of its own source under their common names
+    rows = tiered_lines.select(
+        S.PRODUCT_ID, "l_partkey", S.SOURCE, S.TIER, S.PRICE,
+        F.when(is_a, F.format_string("HM%06d", F.col("l_partkey"))).alias("product_code"),
+        F.when(is_a | is_n, F.col(S.IMAGES)).alias(S.IMAGES))
+    out = default_images(rows, 1)
     out = out.join(part_df, F.col("l_partkey") == F.col("p_partkey"), "left")
     out = harmonise(out, S.GENDER, {**GENDER_HARMONISE, **STANDIN_HARMONISE})
     return out.select(S.PRODUCT_ID, S.NAME, S.BRAND, S.GENDER, S.COLOR, S.PRICE, S.IMAGES,

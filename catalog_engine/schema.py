@@ -54,7 +54,7 @@ RAW_CATALOG_CSV_SCHEMA = T.StructType([
 
 # Images: one row per picture, pixels row-major and already flat.
 IMAGE_SCHEMA = T.StructType([
-    T.StructField("image_id", T.LongType(), False),
+    T.StructField("image_id", T.StringType(), False),
     T.StructField("label", T.IntegerType()),
     T.StructField("pixels", T.ArrayType(T.DoubleType())),
 ])

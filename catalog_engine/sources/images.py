@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gzip
 import struct
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -59,11 +58,11 @@ def _decode_pair(pdf: pd.DataFrame) -> pd.DataFrame:
                 if ln != n:
                     raise ValueError(f"{lp}: {ln} labels for {n} images")
                 labels[:] = np.frombuffer(lraw, dtype=np.uint8, offset=8, count=ln)
-        base = np.int64(zlib.crc32(path.encode()) & 0x7FFFFFFF) << np.int64(32)
-        out.append(pd.DataFrame({"image_id": base + np.arange(n, dtype=np.int64),
+        name = path.rsplit("/", 1)[-1].split("-images-")[0]  # the set's name, wherever it is stored
+        out.append(pd.DataFrame({"image_id": [f"{name}:{i}" for i in range(n)],
                                  "label": labels, "pixels": list(pix)}))
     if not out:
-        return pd.DataFrame({"image_id": pd.Series([], dtype="int64"),
+        return pd.DataFrame({"image_id": pd.Series([], dtype="str"),
                              "label": pd.Series([], dtype="int32"), "pixels": []})
     return pd.concat(out, ignore_index=True)
 

@@ -2,6 +2,7 @@
 above the majority share, save/load, side-by-side scoring, SAMME, integrated run."""
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from catalog_engine import schema as S
@@ -9,6 +10,7 @@ from catalog_engine.functions import exprs as X
 from catalog_engine.operators import evaluate as E
 from catalog_engine.operators import models as M
 from catalog_engine.operators import training as TR
+from catalog_engine.operators.custom_ml import Samme
 from catalog_engine.sources import files
 
 
@@ -136,3 +138,17 @@ def test_pipelines_with_python_stages_save_and_load(spark, catalog, tmp_path, na
     a = TR.predictions(model, df, name).orderBy(S.PRODUCT_ID).collect()
     b = TR.predictions(again, df, name).orderBy(S.PRODUCT_ID).collect()
     assert a == b
+
+
+def test_boosting_evaluates_its_input_once(spark):
+    """However many rounds run, the rows it is given are computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def label(i):
+        seen.add(1)
+        return float(i % 3)
+    df = spark.range(300, numPartitions=2).select(
+        label("id").alias("label"), array_to_vector(F.array((F.col("id") % 3).cast("double"), (F.col("id") % 7).cast("double"))).alias("features"))
+    Samme(n_estimators=12, checkpoint_every=5).fit(df)
+    assert seen.value == 300

@@ -31,6 +31,54 @@ def test_csv_sources_skip_missing(spark, tmp_path):
         files.load_sources(spark, [files.SourceSpec("absent", str(tmp_path / "nope.csv"))])
 
 
+COMMON = [S.PRODUCT_ID, S.NAME, S.BRAND, S.GENDER, S.COLOR, S.PRICE, S.IMAGES, S.SOURCE, S.TIER]
+
+
+def test_csv_columns_by_header_and_bad_cells(spark, tmp_path):
+    p = tmp_path / "cat.csv"
+    p.write_text("PrimaryColor,Price (INR),Gender,ProductName,ProductID,NumImages\n"
+                 "Red,499.0,Men,Red Tee,1,3\n"
+                 "Blue,cheap,Men,Blue Tee,2,3\n"
+                 "Gold,,Women,Gold Ring,3,2\n")
+    df, report = files.load_sources(spark, [files.SourceSpec("base", str(p))])
+    rows = sorted(tuple(r) for r in df.select(S.PRODUCT_ID, S.NAME, S.PRICE, S.TIER, S.BRAND).collect())
+    assert rows == [("base:1", "Red Tee", 499.0, "Low", None), ("base:3", "Gold Ring", None, "High", None)]
+    assert report.first().message == "1 unreadable rows left out"
+    q = tmp_path / "noprice.csv"
+    q.write_text("ProductID,ProductName\n1,x\n")
+    with pytest.raises(FileNotFoundError, match="no column Price"):
+        files.load_sources(spark, [files.SourceSpec("base", str(q))])
+
+
+def _three_retailers(spark, tmp_path):
+    specs = []
+    for k, (name, names) in enumerate([("first", ["product_name", "brand", "gender", "color", "price"]),
+                                       ("second", ["name", "brand", "gender", "colour", "price"]),
+                                       ("third", ["title", "maker", "sex", "hue", "cost"])]):
+        path = tmp_path / f"{name}.csv"
+        lines = [",".join(["code", *names])]
+        for i in range(60):
+            tier = i % 3
+            lines.append(f"X{i},{['Basic', 'Fine', 'Luxury'][tier]} item,B{tier},{['Male', 'Women'][i % 2]},Red,{[20, 100, 400][tier] + k}")
+        path.write_text("\n".join(lines) + "\n")
+        common = [S.NAME, S.BRAND, S.GENDER, S.COLOR, S.PRICE]
+        specs.append(files.retailer(name, str(path), dict(zip(common, names, strict=True)), "code"))
+    return files.load_sources(spark, specs, harmonise={"Male": "Men"})
+
+
+def test_three_retailers_load_and_train(spark, tmp_path):
+    df, report = _three_retailers(spark, tmp_path)
+    df = df.select(*COMMON)
+    assert report.filter("status = 'loaded'").count() == 3
+    assert df.count() == 180 and df.select(S.PRODUCT_ID).distinct().count() == 180
+    assert {(r[S.TIER], r["count"]) for r in df.groupBy(S.TIER).count().collect()} == {("Low", 60), ("Medium", 60), ("High", 60)}
+    assert {r[S.IMAGES] for r in df.collect()} == {1} and {r[S.GENDER] for r in df.collect()} == {"Men", "Women"}
+    train, test = TR.split(df)
+    model = M.build_pipeline(M.spec("text_lr")).fit(train.withColumn("label_idx", F.when(F.col(S.TIER) == "Low", 0.0).when(F.col(S.TIER) == "Medium", 1.0).otherwise(2.0)))
+    scored = model.transform(test.withColumn("label_idx", F.lit(0.0)))
+    assert scored.count() == test.count() > 0
+
+
 def _idx(path, n, rows, cols, labels):
     pix = (np.arange(n * rows * cols) % 256).astype(np.uint8)
     with gzip.open(path + "-images-idx3-ubyte.gz", "wb") as f:
@@ -45,7 +93,7 @@ def test_idx_decode_and_sinks(spark, tmp_path):
     d.mkdir()
     pix = _idx(str(d / "train"), 5, 2, 3, [1, 2, 3, 4, 5])
     df = images.read_idx(spark, str(d), partitions=2)
-    rows = sorted(df.collect(), key=lambda r: r.image_id)
+    rows = sorted(df.collect(), key=lambda r: int(r.image_id.split(':')[1]))
     assert [r.label for r in rows] == [1, 2, 3, 4, 5]
     assert [list(r.pixels) for r in rows] == pix.astype(float).tolist()
     scaled = images.scale_pixels(df).agg(F.max(F.array_max("pixels"))).first()[0]
@@ -64,6 +112,7 @@ def test_result_store(spark, tmp_path):
     files.store_results(m, str(tmp_path), "r1", "metrics")
     files.store_results(m.withColumn("n", F.lit(20).cast("long")), str(tmp_path), "r2", "metrics")
     assert files.read_results(spark, str(tmp_path), "metrics", "r2").first().n == 20
+    files.store_results(m, str(tmp_path), "r1", "metrics")  # again: replaced, not doubled
     assert files.read_results(spark, str(tmp_path), "metrics").count() == 2
 
 
