@@ -18,7 +18,17 @@ TRAIN_SHARE_TEST = 0.2
 
 
 def _docs(spark, d):
-    return TX.by_document(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return read_table(spark, d, "documents").select("doc_id", "text")
+
+
+def _vocabulary(docs):
+    n = docs.select(F.count(F.lit(1))).scalar()
+    return TX.select_vocabulary(TX.term_stats(TX.analyze(docs, "text", SPEC)), n, SPEC)
+
+
+def _weights(docs, vocab):
+    hits = TX.vocabulary_counts(TX.analyze(docs, "text", SPEC), "doc_id", vocab)
+    return TX.tfidf_long(hits, None, "doc_id")
 
 
 def _split(df, test: bool):
@@ -71,10 +81,7 @@ def f1_f3_token_counts(spark, d):
 @register("f4_f5_vocabulary", f"""WITH {_vocab_sql()}
 SELECT term, idx, df, CAST(cf AS BIGINT) AS cf, round_even(idf, 9) AS idf FROM vocab""")
 def f4_f5_vocabulary(spark, d):
-    docs = _docs(spark, d)
-    n = docs.select(F.count(F.lit(1))).scalar()
-    tf = TX.term_frequencies(TX.analyze(docs, "text", SPEC), "doc_id")
-    v = TX.fit_vocabulary(tf, n, SPEC)
+    v = _vocabulary(_docs(spark, d))
     return v.select("term", "idx", "df", "cf", F.bround("idf", 9).alias("idf"))
 
 
@@ -82,9 +89,7 @@ def f4_f5_vocabulary(spark, d):
 SELECT doc_id, term, idx, round_even(weight, 9) AS weight FROM wn""")
 def f6_tfidf_relational(spark, d):
     docs = _docs(spark, d)
-    tf = TX.term_frequencies(TX.analyze(docs, "text", SPEC), "doc_id")
-    n = docs.select(F.count(F.lit(1))).scalar()
-    out = TX.tfidf_long(tf, TX.fit_vocabulary(tf, n, SPEC), "doc_id")
+    out = _weights(docs, _vocabulary(docs))
     return out.select("doc_id", "term", "idx", F.bround("weight", 9).alias("weight"))
 
 
@@ -117,11 +122,7 @@ def f7_tfidf_apply(spark, d):
     """Fit on the training documents, apply to the held-out ones."""
     docs = _docs(spark, d)
     train, test = _split(docs, False), _split(docs, True)
-    tf_train = TX.term_frequencies(TX.analyze(train, "text", SPEC), "doc_id")
-    n = train.select(F.count(F.lit(1))).scalar()
-    vocab = TX.fit_vocabulary(tf_train, n, SPEC)
-    tf_test = TX.term_frequencies(TX.analyze(test, "text", SPEC), "doc_id")
-    out = TX.tfidf_long(tf_test, vocab, "doc_id")
+    out = _weights(test, _vocabulary(train))
     return out.select("doc_id", "term", "idx", F.bround("weight", 9).alias("weight"))
 
 
@@ -132,9 +133,6 @@ WHERE idx < 20 AND doc_id IN (SELECT doc_id FROM first_docs)""")
 def f8_tfidf_slice(spark, d):
     """The first 20 documents x first 20 vocabulary columns, non-zero cells."""
     docs = _docs(spark, d)
-    first = docs.select("doc_id").orderBy("doc_id").limit(20)
-    tf = TX.term_frequencies(TX.analyze(docs, "text", SPEC), "doc_id")
-    n = docs.select(F.count(F.lit(1))).scalar()
-    out = TX.tfidf_long(tf, TX.fit_vocabulary(tf, n, SPEC), "doc_id")
-    out = out.filter(F.col("idx") < 20).join(first, "doc_id", "left_semi")
+    first = docs.orderBy("doc_id").limit(20)  # the norm needs all terms of these documents, and no other document
+    out = _weights(first, _vocabulary(docs)).filter(F.col("idx") < 20)
     return out.select("doc_id", "idx", F.bround("weight", 9).alias("weight"))
