@@ -49,6 +49,9 @@ def op6_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op6_quality_rules"] = quality.oracle()
+
+
 @query
 def op7_language_id(spark, sf_dir):
     return languages.identify(table(spark, sf_dir, "documents"))

@@ -141,3 +141,34 @@ def verdicts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return assess(docs, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "clean_words", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
+
+
+def oracle(rules: Rules = Rules()) -> str:
+    """verdicts() in DuckDB SQL. White space of other alphabets, which only the Python rules
+    know, isn't in it."""
+    seps = ", ".join(f"'{s}'" for s in sorted(SEPARATORS))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t-\r]+') AS words FROM d),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+worded AS (SELECT *, regexp_extract_all(line, '[^ \t-\r]+') AS lw, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+           row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth FROM lines WHERE regexp_matches(line, '[^ \t-\r]')),
+judged AS (SELECT *, nth = 1
+    AND len(list_filter(lw, lambda x: list_contains([{seps}], x))) <= {rules.max_separators} * len(lw)
+    AND len(regexp_extract_all(bare, '[#*$%&|<>]')) <= {rules.max_symbols} * length(bare)
+    AND NOT (len(lw) <= {rules.boilerplate_words} AND regexp_matches(bare, '{BOILERPLATE.pattern}', 'i'))
+    AND regexp_matches(bare, '{SENTENCE_END.pattern.replace("'", "''")}')
+    AND NOT (len(lw) > 3 AND len(list_filter(lw, lambda x: upper(x) = x AND lower(x) <> x)) > {rules.max_capitals} * len(lw)) AS good FROM worded),
+per AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS n_distinct,
+        coalesce(sum(len(lw)) FILTER (good), 0) AS clean_words, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (good), '') AS clean FROM judged GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, {WINDOW}) AS r(k) GROUP BY doc_id),
+base AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines - n_distinct, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(clean_words, 0) AS BIGINT) AS clean_words, sha256(coalesce(clean, '')) AS clean_sha256
+    FROM w LEFT JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id)),
+failed AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND clean_words >= {rules.min_words} AND clean_words >= {1 - rules.max_loss} * n_words AS kept, clean_words, clean_sha256
+FROM failed"""

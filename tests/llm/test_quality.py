@@ -60,3 +60,13 @@ def test_labels_agree(small_docs, spark, sf_small):
 
 def test_empty(no_docs):
     assert q.verdicts(no_docs).collect() == []
+
+
+def test_sql_twin(small_docs, sf_small):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_small}/documents.parquet')")
+    found = q.verdicts(small_docs)
+    expected = con.execute(q.oracle())
+    order = [d[0] for d in expected.description]
+    assert sorted(map(tuple, found.select(order).collect())) == sorted(expected.fetchall())
