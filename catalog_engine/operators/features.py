@@ -27,12 +27,16 @@ def label_codes(values: DataFrame, col: str, out: str | None = None) -> DataFram
                   .select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(out)))
 
 
+BROADCAST_CODES = 100_000
+"""A code table of so many rows at most is broadcast; a longer one is joined as the planner sees fit."""
+
+
 def encode(df: DataFrame, codes: DataFrame, col: str, handle_unknown: str = "error") -> DataFrame:
     """attach codes; an unseen category raises (``keep`` gives code k)."""
     out = [c for c in codes.columns if c != col][0]
-    joined = df.join(F.broadcast(codes), col, "left")
+    k = codes.count()
+    joined = df.join(F.broadcast(codes) if k <= BROADCAST_CODES else codes, col, "left")
     if handle_unknown == "keep":
-        k = codes.count()
         return joined.withColumn(out, F.coalesce(F.col(out), F.lit(k)))
     return joined.withColumn(out, F.when(F.col(out).isNotNull() | F.col(col).isNull(), F.col(out))
                              .otherwise(F.raise_error(F.concat(F.lit("unseen label: "), F.col(col)))))

@@ -329,3 +329,19 @@ FROM q""")
 def d2_quality_advice(spark, d):
     return rules.quality_advice(stats.quality_indicators(*_lp(spark, d), digits=15)).select(
         "imbalance", "low_brand_diversity", "too_few_rows", "ok")
+
+
+@register("p12_update_where", f"""{W}
+SELECT product_id, PriceCategory, CASE WHEN PriceCategory = 'High' THEN 1 ELSE NumImages END AS NumImages
+FROM catalog""")
+def p12_update_where(spark, d):
+    tiered = C.with_tier(C.lines(spark, d))
+    out = transforms.update_where(tiered, S.IMAGES, F.col(S.TIER) == "High", F.lit(1))
+    return out.select(S.PRODUCT_ID, S.TIER, S.IMAGES)
+
+
+@register("p16_relabel", f"""{W}
+SELECT DataSource AS shop, count(*) AS products, max(Price) AS top_price FROM catalog GROUP BY DataSource""")
+def p16_relabel(spark, d):
+    per = C.lines(spark, d).groupBy(S.SOURCE).agg(F.count(F.lit(1)), F.max(S.PRICE))
+    return transforms.relabel(per, ["shop", "products", "top_price"])

@@ -352,3 +352,20 @@ def d3_d4_model_bands(spark, d):
         F.bround("overfit_gap", 6).alias("overfit_gap"),
         rules.accuracy_wording().alias("wording"), rules.accuracy_band().alias("band"),
         rules.overfit_band().alias("overfit_band"))
+
+
+def _side_by_side_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT product_id, l_orderkey, l_linenumber, '{m}' AS model, {LBL(f'pred{i}')} AS prediction, conf{i} AS confidence "
+        f"FROM scored WHERE split = 'test'" for i, (_, m, _) in enumerate(SC.MODELS))
+
+
+@register("j4_m16_side_by_side", f"{WS} {_side_by_side_sql()}")
+def j4_m16_side_by_side(spark, d):
+    """All models' predictions of the same row: columns of one frame, then long rows."""
+    df = _scored(spark, d).filter(F.col("split") == "test")
+    names = F.array(*[F.lit(c) for c in T])
+    per = [F.struct(F.lit(m).alias("model"), F.element_at(names, X.argmax(f"p_{m}") + 1).alias("prediction"),
+                    F.array_max(f"p_{m}").alias("confidence")) for _, m, _ in SC.MODELS]
+    return df.select("product_id", "l_orderkey", "l_linenumber", F.explode(F.array(*per)).alias("_m")).select(
+        "product_id", "l_orderkey", "l_linenumber", "_m.*")

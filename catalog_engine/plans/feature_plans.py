@@ -58,3 +58,18 @@ def f17_split_by_source(spark, d):
     df = C.lines(spark, d).select(S.SOURCE, FE.split_column(S.PRODUCT_ID, 0.2))
     return df.groupBy(S.SOURCE).agg(F.count_if(F.col("split") == "train").alias("n_train"),
                                     F.count_if(F.col("split") == "test").alias("n_test"))
+
+
+@register("f10_encode_unseen", f"""{W}
+, tr AS (SELECT DISTINCT l_suppkey AS k FROM catalog WHERE {SPLIT_SQL} = 'train' AND DataSource = 'A'),
+codes AS (SELECT k, CAST(dense_rank() OVER (ORDER BY k) - 1 AS INTEGER) AS code FROM tr)
+SELECT product_id, l_suppkey, coalesce(code, (SELECT CAST(count(*) AS INTEGER) FROM codes)) AS code
+FROM catalog LEFT JOIN codes ON l_suppkey = k WHERE {SPLIT_SQL} = 'test'""")
+def f10_encode_unseen(spark, d):
+    """Supplier codes fitted on one source's training rows, applied to all test rows;
+    suppliers that it never saw share the code after the last."""
+    df = C.lines(spark, d)
+    test = X.is_test_row(S.PRODUCT_ID, 0.2)
+    codes = FE.label_codes(df.filter(~test & (F.col(S.SOURCE) == "A")).select("l_suppkey").distinct(), "l_suppkey", "code")
+    out = FE.encode(df.filter(test), codes, "l_suppkey", handle_unknown="keep")
+    return out.select(S.PRODUCT_ID, "l_suppkey", F.col("code").cast("int").alias("code"))
