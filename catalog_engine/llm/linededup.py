@@ -37,7 +37,7 @@ BLOCKS = 4
 MIN_DOCS = 3
 SHORT_MIN_DOCS = 20
 """Documents that make a template recur: from GENERAL_TOKENS tokens on, and below."""
-COPY_SHARE = 0.8
+COPY_SHARE = 0.5
 
 FIELD = re.compile(r"\S*\d\S*")
 
