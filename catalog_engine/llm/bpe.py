@@ -30,6 +30,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from catalog_engine.llm.common import lists, map_slices
 
 CACHE_ENTRIES = 400_000
+SLICE = 2 << 20
 NO_PAIR = np.int64(2**62)
 PLACE_BITS = 32
 PLACE = np.int64(2**PLACE_BITS - 1)
@@ -62,8 +63,8 @@ CHUNK = re.compile(f"[^{WHITE_SPACE}]+")
 
 
 def split_words(chunk: str) -> list[str]:
-    if chunk.isalpha():  # all letters
-        return [chunk]
+    if chunk[-1] in ",.;:!?|" and chunk[:-1].isalpha():  # the common case, without the pattern
+        return [chunk[:-1], chunk[-1]]
     return word_pattern(0x10FFFF if WIDE.search(chunk) else 0xFFFF).findall(chunk)
 
 
@@ -229,21 +230,29 @@ class Encoder:
         return CHUNK.findall(text) if SEPARATORS.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Id bytes of each text. Chunks that aren't known yet are encoded together."""
         rows = [self.chunks(t) for t in texts]
-        needed = set(chain.from_iterable(rows))
-        for special in [c for c in needed if isinstance(c, bytes)]:
-            self.known[special] = special
-        new = needed - self.known.keys()
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {c: c for c in needed if isinstance(c, bytes)}
-            new = needed - self.known.keys()
+        found = [list(map(self.known.get, r)) for r in rows]
+        new = {c for r, f in zip(rows, found, strict=True) if None in f for c, i in zip(r, f, strict=True) if i is None}
         if new:
-            words = {chunk: split_words(chunk) for chunk in new}
-            ids = self.encode_words(set(chain.from_iterable(words.values())))
-            for chunk, own in words.items():
-                self.known[chunk] = b"".join([ids[w] for w in own])
-        get = self.known.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+            fresh = self._encode_chunks(new)
+            for r, f in zip(rows, found, strict=True):
+                if None in f:
+                    f[:] = [fresh[c] if i is None else i for c, i in zip(r, f, strict=True)]
+            if len(self.known) + len(fresh) > CACHE_ENTRIES:
+                self.known = {}
+            self.known.update(fresh)
+        return [b"".join(f) for f in found]
+
+    def _encode_chunks(self, new: set[str | bytes]) -> dict[str | bytes, bytes]:
+        out = {c: c for c in new if isinstance(c, bytes)}
+        plain = [c for c in new if isinstance(c, str) and c.isalpha()]  # all letters: one word
+        mixed = {c: split_words(c) for c in new if isinstance(c, str) and not c.isalpha()}
+        ids = self.encode_words({*plain, *chain.from_iterable(mixed.values())})
+        out.update((c, ids[c]) for c in plain)
+        for chunk, words in mixed.items():
+            out[chunk] = b"".join([ids[w] for w in words])
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -272,7 +281,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
 
         return one
 
-    return map_slices(rows, make, f"{types}, ids array<int>", "_text")
+    return map_slices(rows, make, f"{types}, ids array<int>", "_text", SLICE)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
