@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,7 +39,7 @@ WORD = re.compile(r"\w+")
 
 STEMS = range(4, 7)
 """Lengths of word beginnings that may be lexicon entries; they end in a star there."""
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def entries(word: str) -> list[str]:
@@ -128,26 +129,37 @@ def significance(in_toxic: int, in_clean: int, n_toxic: int, n_clean: int) -> fl
 
 def choose_lexicon(toxic: list[set[str]], clean: list[set[str]], most: int = 200, least: float = 25.0) -> list[str]:
     """Greedy cover of the toxic documents by entries that clean ones use significantly less."""
-    toxic_sets, in_clean = [{e for w in d for e in entries(w)} for d in toxic], Counter()
-    in_toxic = Counter(e for d in toxic_sets for e in d)
-    frequent = {e for e, c in in_toxic.items() if c >= 4}
+    in_toxic, in_clean = Counter(), Counter()
+    for d in toxic:
+        in_toxic.update({e for w in d for e in entries(w)})
+    in_toxic = Counter({e: c for e, c in in_toxic.items() if c >= 4})
+    frequent = set(in_toxic)
     for d in clean:
         in_clean.update({e for w in d for e in entries(w)} & frequent)
 
     def usable(e: str, count: int) -> bool:
-        return (in_clean[e] * len(toxic) * 50 <= in_toxic[e] * len(clean)
+        purity = 200 if e.endswith("*") else 50  # a stem also takes in words that nobody has seen
+        return (in_clean[e] * len(toxic) * purity <= in_toxic[e] * len(clean)
                 and significance(count, in_clean[e], len(toxic), len(clean)) >= least)
 
+    def narrowed(e: str, counts: Counter) -> str:
+        """A stem of which one word makes up half is that word."""
+        if not e.endswith("*"):
+            return e
+        word = max((x for x in counts if not x.endswith("*") and x.startswith(e[:-1])), key=lambda x: (counts[x], x), default=e)
+        return word if 2 * counts[word] >= counts[e] else e
+
     kept = {e for e in frequent if usable(e, in_toxic[e])}
-    open_docs = [d & kept for d in toxic_sets]
+    open_docs = [{e for w in d for e in entries(w)} & kept for d in toxic]
     chosen: list[str] = []
     while len(chosen) < most:
         gain = Counter(e for d in open_docs for e in d)
         if not gain:
             break
-        # a use in a clean document outweighs ten more toxic ones; among equals the narrowest:
-        # a whole word before its stems, a long stem before a short one
-        entry = max(gain, key=lambda e: (gain[e] - 10 * in_clean[e] * len(toxic) / len(clean), not e.endswith("*"), len(e), e))
+        # a use in a clean document outweighs ten more toxic ones, and a stem must explain a
+        # quarter more than a whole word; among equals a long stem before a short one
+        entry = max(gain, key=lambda e: ((0.8 if e.endswith("*") else 1.0) * gain[e] - 10 * in_clean[e] * len(toxic) / len(clean), not e.endswith("*"), len(e), e))
+        entry = narrowed(entry, gain)
         if not usable(entry, gain[entry]):
             break
         chosen.append(entry)
@@ -155,7 +167,7 @@ def choose_lexicon(toxic: list[set[str]], clean: list[set[str]], most: int = 200
     # entries as frequent as the chosen ones, though their documents are covered already
     bar = sorted(in_toxic[e] for e in chosen)[len(chosen) // 2] / 2 if chosen else math.inf
     rest = sorted((e for e in kept if in_toxic[e] >= bar), key=lambda e: (-in_toxic[e], e.endswith("*"), -len(e), e))
-    for e in rest:
+    for e in (narrowed(x, in_toxic) for x in rest):
         bare = e.rstrip("*")
         if len(chosen) < most and not any(bare.startswith(x.rstrip("*")) or x.startswith(bare) for x in chosen):
             chosen.append(e)
@@ -245,7 +257,7 @@ def fit(rows: list[tuple[list[str], int]]) -> Model:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
     """Fit on a sample of the labelled rows that aren't held out: ids are drawn by their hash,
     about per_class of each label; their words come to the driver."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
@@ -267,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model:
                                              ["doc_id", "label", "words"])
 
     rows = sample.select("doc_id", "label", "text").mapInArrow(words, "doc_id long, label int, words array<string>").collect()
-    return fit([(r["words"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    return fit([([sys.intern(w) for w in r["words"]], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 class Scorer:
