@@ -27,7 +27,7 @@ from catalog_engine.llm.common import id_text, is_held_out, map_slices
 
 DIMENSIONS = 1024
 GRAM = 3
-TABLE_ROWS = 60_000
+TABLE_ROWS = 24_000
 BLANK = ord(" ")
 
 
@@ -80,7 +80,9 @@ class Profiler:
         for g in new:
             at = self.rows[g] = len(self.rows)
             if at == len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+                grown = np.zeros((max(at + 1, min(2 * at, TABLE_ROWS)), self.dimensions), dtype=np.float32)
+                grown[:at] = self.table
+                self.table = grown
             self.table[at] = self.gram_vector(g)
         return [self.rows[g] for g in packed]
 
