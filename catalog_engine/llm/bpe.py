@@ -29,8 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from catalog_engine.llm.common import lists, map_slices
 
-CACHE_ENTRIES = 400_000
-SLICE = 2 << 20
+CACHE_ENTRIES = 250_000
 NO_PAIR = np.int64(2**62)
 PLACE_BITS = 32
 PLACE = np.int64(2**PLACE_BITS - 1)
@@ -265,23 +264,45 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, ids) of whole texts under the tokenizer file at path, plus kept columns."""
+def _kept_rows(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
+    """doc_id, kept columns and text (null as empty); the names and types of all but the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in keep],
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     kept = ["doc_id", *keep]
-    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows, kept, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+
+def _id_arrays(path: str, texts: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in _encoder(path).encode(texts.to_pylist())]
+
+
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids) of whole texts under the tokenizer file at path, plus kept columns."""
+    rows, kept, types = _kept_rows(docs, keep)
 
     def make():
-        encoder = _encoder(path)
+        return lambda part: pa.RecordBatch.from_arrays(
+            [*[part.column(c) for c in kept], lists(_id_arrays(path, part.column("_text")), pa.int32())], [*kept, "ids"])
+
+    return map_slices(rows, make, f"{types}, ids array<int>", "_text")
+
+
+def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """encode() and decode() of its ids in one pass, so that a task has one Python worker:
+    (doc_id, ids, decoded) plus kept columns."""
+    rows, kept, types = _kept_rows(docs, keep)
+
+    def make():
+        vocab = vocabulary(path)
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in encoder.encode(part.column("_text").to_pylist())]
-            return pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists(ids, pa.int32())], [*kept, "ids"])
+            ids = _id_arrays(path, part.column("_text"))
+            texts = pa.array([vocab.decode(x.tolist()) for x in ids], pa.string())
+            return pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists(ids, pa.int32()), texts], [*kept, "ids", "decoded"])
 
         return one
 
-    return map_slices(rows, make, f"{types}, ids array<int>", "_text", SLICE)
+    return map_slices(rows, make, f"{types}, ids array<int>, decoded string", "_text")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -307,7 +328,7 @@ def word_bpe() -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """The digest columns of encoding and decoding every document."""
-    out = decode(encode(docs, path), path)
+    out = round_trip(docs, path)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from catalog_engine.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 """Text bytes that a task works on at once; a single longer text makes a slice of its own."""
 
 

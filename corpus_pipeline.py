@@ -48,8 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of every remaining document."""
-    path = bpe.word_bpe()
-    out = bpe.decode(bpe.encode(docs, path, keep=("lang", "source")), path)
+    out = bpe.round_trip(docs, bpe.word_bpe(), keep=("lang", "source"))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
