@@ -8,14 +8,14 @@ variable field. So lines of one form whose fields differ meet under a common tem
 any order of arrival, and no leaf is ever gathered in one place: templates are counted by
 hash, with partial sums, and leaves that too few documents reach are pruned first.
 
-A template recurs when enough different documents hold it. Documents made mostly of
-recurring lines are copies of documents: they are neither counted nor cut (near-duplicate
-removal deals with them). Lines of recurring templates are dropped from all other documents.
+A template recurs when enough different documents hold it. Equal texts count as one, and so
+do near copies, confirmed by their full sets of word shingles (operator 3): what only the
+versions of one document share is its text, not a template. Lines of recurring templates are
+dropped from every document, copies included.
 
 Defined cases: null and empty texts have no lines and stay as they are (null becomes empty);
 blank lines and lines of fewer than MIN_TOKENS tokens always stay; a line that a document
-repeats counts once for it; rows equal in id and text count as one document and get the same
-result; null ids are ordinary; an empty table gives no rows. Templates are compared by
+repeats counts once for it; rows of equal text get the same result; null ids are ordinary; an empty table gives no rows. Templates are compared by
 64-bit hashes.
 """
 
@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.llm.common import map_slices, stored
+from catalog_engine.llm.common import id_text, map_slices, stored
+from catalog_engine.llm.neardedup import Settings, groups
 
 LEADING = 3
 MIN_TOKENS = 3
@@ -37,7 +38,10 @@ BLOCKS = 4
 MIN_DOCS = 3
 SHORT_MIN_DOCS = 20
 """Documents that make a template recur: from GENERAL_TOKENS tokens on, and below."""
+COPIES = Settings(words=5, percent=80)
+"""Near copies, as the pipeline's near-duplicate removal has them."""
 COPY_SHARE = 0.5
+"""Not used any more: the share of the earlier rule, which tests/llm/test_lines.py restates."""
 
 FIELD = re.compile(r"\S*\d\S*")
 
@@ -67,25 +71,26 @@ def doc_key() -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, tokens, doc_tokens, leaf, templates) of every line that is long enough."""
-    rows = docs.select(doc_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    names = ["doc", "line", "tokens", "doc_tokens", "leaf", "templates"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    """(doc, same, line, tokens, leaf, templates) of every line that is long enough; same is a
+    hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("same"), text.alias("text"))
+    names = ["doc", "same", "line", "tokens", "leaf", "templates"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
 
     def make():
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             out = [[] for _ in names]
-            for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
-                total = len(text.split())
+            for doc, same, text in zip(*(part.column(c).to_pylist() for c in ("doc", "same", "text")), strict=True):
                 for i, line in enumerate(text.split("\n")):
                     if found := parse(line):
-                        for column, value in zip(out, (doc, i, found[0], total, *found[1:]), strict=True):
+                        for column, value in zip(out, (doc, same, i, *found), strict=True):
                             column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
         return one
 
-    return map_slices(rows, make, "doc long, line int, tokens int, doc_tokens long, leaf long, templates array<long>")
+    return map_slices(rows, make, "doc long, same long, line int, tokens int, leaf long, templates array<long>")
 
 
 def _needed() -> Column:
@@ -93,22 +98,24 @@ def _needed() -> Column:
 
 
 def _recurring_lines(lines: DataFrame) -> DataFrame:
-    """(doc, line, tokens, doc_tokens) of lines with a template that enough documents hold."""
-    each = lines.select("doc", "line", "tokens", "doc_tokens", F.explode("templates").alias("template"))
-    counts = each.select("template", "doc", "tokens").distinct().groupBy("template", "tokens").agg(F.count(F.lit(1)).alias("_docs"))
-    recurring = counts.where(F.col("_docs") >= _needed()).select("template")
-    return each.join(recurring, "template", "left_semi").select("doc", "line", "tokens", "doc_tokens").distinct()
+    """The lines that have a template held by enough different texts (column same)."""
+    each = lines.select("template", "tokens", "same").distinct()
+    counts = each.groupBy("template", "tokens").agg(F.count(F.lit(1)).alias("_docs"))
+    return lines.join(counts.where(F.col("_docs") >= _needed()).select("template"), "template", "left_semi")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of all lines to drop."""
     lines = stored(parsed_lines(docs), "line-templates")
-    leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= MIN_DOCS)
+    leaves = lines.select("leaf", "same").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= MIN_DOCS)
     # a document's rows may repeat: keep one of each line
-    lines = stored(lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["doc", "line"]), "line-candidates")
-    share = F.sum("tokens") / F.max("doc_tokens")
-    copies = stored(_recurring_lines(lines).groupBy("doc").agg(share.alias("_share")).where(F.col("_share") > COPY_SHARE).select("doc"), "line-copies")
-    return _recurring_lines(lines.join(copies, "doc", "left_anti")).select("doc", "line")
+    lines = lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["doc", "line"])
+    each = stored(lines.select("doc", "same", "line", "tokens", F.explode("templates").alias("template")), "line-candidates")
+    each = stored(_recurring_lines(each), "line-recurring")
+    texts = each.select(F.col("doc").alias("doc_id")).distinct()
+    holders = id_text(docs.select(doc_key().alias("doc_id"), "text")).join(texts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    copies = groups(stored(holders, "line-holders"), COPIES).select(F.col("doc_id").alias("doc"), F.col("label").alias("same"))
+    return _recurring_lines(stored(each.drop("same").join(copies, "doc"), "line-copies")).select("doc", "line").distinct()
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
