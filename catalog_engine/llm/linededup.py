@@ -14,7 +14,7 @@ versions of one document share is its text, not a template. Lines of recurring t
 dropped from every document, copies included.
 
 Defined cases: null and empty texts have no lines and stay as they are (null becomes empty);
-blank lines and lines of fewer than MIN_TOKENS tokens always stay; a line that a document
+blank lines always stay; digits of lines under MIN_TOKENS tokens count; a line that a document
 repeats counts once for it; rows of equal text get the same result; null ids are ordinary; an empty table gives no rows. Templates are compared by
 64-bit hashes.
 """
@@ -37,7 +37,10 @@ GENERAL_TOKENS = 8
 BLOCKS = 4
 MIN_DOCS = 3
 SHORT_MIN_DOCS = 20
-"""Documents that make a template recur: from GENERAL_TOKENS tokens on, and below."""
+LONG_TOKENS = 50
+"""Documents that make a template recur: two from LONG_TOKENS tokens on, where chance is ruled
+out, MIN_DOCS from GENERAL_TOKENS tokens on; below, SHORT_MIN_DOCS at MIN_TOKENS tokens, and in
+inverse ratio to the length."""
 COPIES = Settings(words=5, percent=80)
 """Near copies, as the pipeline's near-duplicate removal has them."""
 COPY_SHARE = 0.5
@@ -52,11 +55,13 @@ def _hash(*parts) -> int:
 
 
 def parse(line: str) -> tuple[int, int, list[int]] | None:
-    """Token count, leaf and templates of a line; None if it is too short."""
+    """Token count, leaf and templates of a line; None if it is blank."""
     tokens = FIELD.sub("<*>", line).split()
     n = len(tokens)
-    if n < MIN_TOKENS:
+    if not n:
         return None
+    if n < MIN_TOKENS:
+        tokens = line.split()
     leaf = _hash(n, *tokens[:LEADING])
     templates = [_hash(n, *tokens)]
     if n >= GENERAL_TOKENS:
@@ -71,7 +76,7 @@ def doc_key() -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, same, line, tokens, leaf, templates) of every line that is long enough; same is a
+    """(doc, same, line, tokens, leaf, templates) of every line that isn't blank; same is a
     hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("same"), text.alias("text"))
@@ -94,7 +99,8 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 
 
 def _needed() -> Column:
-    return F.when(F.col("tokens") >= GENERAL_TOKENS, MIN_DOCS).otherwise(SHORT_MIN_DOCS)
+    short = F.ceil(F.lit(MIN_TOKENS * SHORT_MIN_DOCS) / F.col("tokens"))
+    return F.when(F.col("tokens") >= LONG_TOKENS, 2).when(F.col("tokens") >= GENERAL_TOKENS, MIN_DOCS).otherwise(short)
 
 
 def _recurring_lines(lines: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def _recurring_lines(lines: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of all lines to drop."""
     lines = stored(parsed_lines(docs), "line-templates")
-    leaves = lines.select("leaf", "same").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= MIN_DOCS)
+    leaves = lines.select("leaf", "tokens", "same").distinct().groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= _needed())
     # a document's rows may repeat: keep one of each line
     lines = lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["doc", "line"])
     each = stored(lines.select("doc", "same", "line", "tokens", F.explode("templates").alias("template")), "line-candidates")

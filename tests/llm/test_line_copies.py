@@ -35,3 +35,17 @@ def test_null_ids_and_repeated_rows_count_by_text(spark, words):
     rows = rows + rows
     found = sorted(r.text for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert found == sorted(t.split("\n")[0] for _, t in rows)
+
+
+def test_minimum_follows_from_length(spark, words):
+    say = lines_of(words, 23)
+    passage, shorter = say(50), say(49)
+    rows = []
+    for i in range(70):
+        lines = [say(15) for _ in range(4)]
+        lines += [passage] * (i < 2) + [shorter] * (10 <= i < 12) + ["Read more"] * (i < 30) + ["Next"] * (i < 60)
+        lines += ["Go back"] * (i < 29) + ["Home"] * (i < 59) + ["See all of it"] * (i < 15) + ["See all of them"] * (i < 14) + [f"page {i}"]
+        rows.append((i, "\n".join(lines)))
+    out = kept(spark, rows)
+    gone = {passage, "Read more", "Next", "See all of it"}
+    assert all(out[i] == "\n".join(x for x in t.split("\n") if x not in gone) for i, t in rows)
