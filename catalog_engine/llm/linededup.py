@@ -1,12 +1,16 @@
 """Line dedup (operator 5): a fixed-depth tree of line templates.
 
-A line is parsed into tokens at white space; tokens with a digit become the field <*>. Its
-path in the tree is its token count, then its first three tokens; the leaf holds templates.
-A line belongs to the template of its exact tokens and, from GENERAL_TOKENS tokens on, to
-four generalised ones, in each of which a quarter of the tokens behind the leading ones is a
-variable field. So lines of one form whose fields differ meet under a common template, in
-any order of arrival, and no leaf is ever gathered in one place: templates are counted by
-hash, with partial sums, and leaves that too few documents reach are pruned first.
+A line is parsed into tokens at white space; tokens with a digit become the field <*>. From
+GENERAL_TOKENS tokens on it has BLOCKS blocks, the LEADING first tokens and four quarters of
+the rest, and belongs to the template of its exact tokens and to those in which one block or
+two are variable fields; a shorter line, to those in which any one token is a field (with
+MIN_TOKENS fixed tokens left). Each template is kept under a leaf of the tree: the token count
+and the first tokens that are no field. So lines of one form whose fields differ meet under a
+common template, in any order of arrival, and no leaf is ever gathered in one place: templates
+are counted by hash, with partial sums, and leaves that too few documents reach are pruned first.
+
+Limits: fields in three or more blocks, in two places of a short line, or of differing token
+counts do not meet; lines under MIN_TOKENS + 1 tokens have no field.
 
 A template recurs when enough different documents hold it. Equal texts count as one, and so
 do near copies, confirmed by their full sets of word shingles (operator 3): what only the
@@ -21,7 +25,10 @@ repeats counts once for it; rows of equal text get the same result; null ids are
 
 from __future__ import annotations
 
+import math
 import re
+import struct
+from itertools import combinations
 
 import pyarrow as pa
 import xxhash
@@ -34,7 +41,7 @@ from catalog_engine.llm.neardedup import Settings, groups
 LEADING = 3
 MIN_TOKENS = 3
 GENERAL_TOKENS = 8
-BLOCKS = 4
+BLOCKS = 5
 MIN_DOCS = 3
 SHORT_MIN_DOCS = 20
 LONG_TOKENS = 50
@@ -49,25 +56,60 @@ COPY_SHARE = 0.5
 FIELD = re.compile(r"\S*\d\S*")
 
 
+BLOCK_FIELDS = [(), *((k,) for k in range(BLOCKS)), *combinations(range(BLOCKS), 2)]
+"""Blocks that are fields, of each template of a line that has blocks."""
+
+
 def _hash(*parts) -> int:
-    """Signed 64-bit hash of a template."""
+    """Signed 64-bit hash of some tokens."""
     return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts))) - (1 << 63)
 
 
-def parse(line: str) -> tuple[int, int, list[int]] | None:
-    """Token count, leaf and templates of a line; None if it is blank."""
+def _joined(n: int, kind: int, *hashes: int) -> int:
+    """Signed 64-bit hash of a token count, a kind and hashes."""
+    return xxhash.xxh3_64_intdigest(struct.pack(f"{2 + len(hashes)}q", n, kind, *hashes)) - (1 << 63)
+
+
+def least_docs(fixed: int) -> int:
+    """Documents that make a template of so many fixed tokens recur."""
+    if fixed >= GENERAL_TOKENS:
+        return 2 if fixed >= LONG_TOKENS else MIN_DOCS
+    return math.ceil(MIN_TOKENS * SHORT_MIN_DOCS / max(fixed, 1))
+
+
+def parse(line: str) -> tuple[int, list[int], list[int], list[int]] | None:
+    """Token count, and for each template its leaf, its hash and the documents that make it
+    recur; None if the line is blank. The first template has no field."""
     tokens = FIELD.sub("<*>", line).split()
     n = len(tokens)
     if not n:
         return None
     if n < MIN_TOKENS:
         tokens = line.split()
-    leaf = _hash(n, *tokens[:LEADING])
-    templates = [_hash(n, *tokens)]
-    if n >= GENERAL_TOKENS:
-        cuts = [LEADING + (n - LEADING) * k // BLOCKS for k in range(BLOCKS + 1)]
-        templates += [_hash(n, *tokens[:a], f"<*{k}>", *tokens[b:]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return n, leaf, templates
+    if n < GENERAL_TOKENS:
+        half = max(1, n // 2)
+        first, last = _joined(n, -1, _hash(*tokens[:half])), _joined(n, -2, _hash(*tokens[half:]))
+        leaves, templates, least = [first], [_joined(n, -3, *map(_hash, tokens))], [least_docs(n)]
+        if n > MIN_TOKENS:
+            hashes = [_hash(t) for t in tokens]
+            for k in range(n):
+                leaves.append(last if k < half else first)
+                templates.append(_joined(n, k, *hashes[:k], *hashes[k + 1:]))
+                least.append(least_docs(n - 1))
+        return n, leaves, templates, least
+    cuts = [0, *(LEADING + (n - LEADING) * k // (BLOCKS - 1) for k in range(BLOCKS))]
+    blocks = [tokens[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    hashes = [_hash(*x) for x in blocks]
+    heads = [_joined(n, k, _hash(*blocks[k][:LEADING])) for k in range(3)]
+    leaves, templates, least = [], [], []
+    for kind, fields in enumerate(BLOCK_FIELDS):
+        kept = [k for k in range(BLOCKS) if k not in fields]
+        leaves.append(heads[kept[0]])
+        templates.append(_joined(n, kind, *(hashes[k] for k in kept)))
+        # one field behind the leading tokens: as for the whole line, LONG_TOKENS apart
+        fixed = sum(len(blocks[k]) for k in kept)
+        least.append(min(MIN_DOCS, least_docs(fixed)) if len(fields) == 1 and fields[0] else least_docs(fixed))
+    return n, leaves, templates, least
 
 
 def doc_key() -> Column:
@@ -76,47 +118,49 @@ def doc_key() -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, same, line, tokens, leaf, templates) of every line that isn't blank; same is a
-    hash of the text."""
+    """(doc, same, line, leaf, templates, least) of every line that isn't blank and of each of its
+    leaves; same is a hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("same"), text.alias("text"))
-    names = ["doc", "same", "line", "tokens", "leaf", "templates"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    names = ["doc", "same", "line", "leaf", "templates", "least"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def make():
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             out = [[] for _ in names]
             for doc, same, text in zip(*(part.column(c).to_pylist() for c in ("doc", "same", "text")), strict=True):
                 for i, line in enumerate(text.split("\n")):
-                    if found := parse(line):
-                        for column, value in zip(out, (doc, same, i, *found), strict=True):
+                    if not (found := parse(line)):
+                        continue
+                    by_leaf = {}
+                    for leaf, *template in zip(*found[1:], strict=True):
+                        by_leaf.setdefault(leaf, []).append(template)
+                    for leaf, held in by_leaf.items():
+                        for column, value in zip(out, (doc, same, i, leaf, *zip(*held, strict=True)), strict=True):
                             column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
         return one
 
-    return map_slices(rows, make, "doc long, same long, line int, tokens int, leaf long, templates array<long>")
-
-
-def _needed() -> Column:
-    short = F.ceil(F.lit(MIN_TOKENS * SHORT_MIN_DOCS) / F.col("tokens"))
-    return F.when(F.col("tokens") >= LONG_TOKENS, 2).when(F.col("tokens") >= GENERAL_TOKENS, MIN_DOCS).otherwise(short)
+    return map_slices(rows, make, "doc long, same long, line int, leaf long, templates array<long>, least array<int>")
 
 
 def _recurring_lines(lines: DataFrame) -> DataFrame:
     """The lines that have a template held by enough different texts (column same)."""
-    each = lines.select("template", "tokens", "same").distinct()
-    counts = each.groupBy("template", "tokens").agg(F.count(F.lit(1)).alias("_docs"))
-    return lines.join(counts.where(F.col("_docs") >= _needed()).select("template"), "template", "left_semi")
+    each = lines.select("template", "least", "same").distinct()
+    counts = each.groupBy("template", "least").agg(F.count(F.lit(1)).alias("_docs"))
+    return lines.join(counts.where(F.col("_docs") >= F.col("least")).select("template"), "template", "left_semi")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of all lines to drop."""
     lines = stored(parsed_lines(docs), "line-templates")
-    leaves = lines.select("leaf", "tokens", "same").distinct().groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= _needed())
+    leaves = (lines.select("leaf", F.array_min("least").alias("_least"), "same").distinct()
+              .groupBy("leaf").agg(F.count(F.lit(1)).alias("_docs"), F.min("_least").alias("_least")).where(F.col("_docs") >= F.col("_least")))
     # a document's rows may repeat: keep one of each line
-    lines = lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["doc", "line"])
-    each = stored(lines.select("doc", "same", "line", "tokens", F.explode("templates").alias("template")), "line-candidates")
+    lines = lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["doc", "line", "leaf"])
+    each = lines.select("doc", "same", "line", F.explode(F.arrays_zip("templates", "least")).alias("_part"))
+    each = stored(each.select("doc", "same", "line", F.col("_part.templates").alias("template"), F.col("_part.least").alias("least")), "line-candidates")
     each = stored(_recurring_lines(each), "line-recurring")
     texts = each.select(F.col("doc").alias("doc_id")).distinct()
     holders = id_text(docs.select(doc_key().alias("doc_id"), "text")).join(texts, "doc_id", "left_semi").dropDuplicates(["doc_id"])

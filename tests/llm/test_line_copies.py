@@ -49,3 +49,23 @@ def test_minimum_follows_from_length(spark, words):
     out = kept(spark, rows)
     gone = {passage, "Read more", "Next", "See all of it"}
     assert all(out[i] == "\n".join(x for x in t.split("\n") if x not in gone) for i, t in rows)
+
+
+def test_fields_early_in_short_lines_and_in_two_places(spark, words):
+    say = lines_of(words, 24)
+    rng = random.Random(25)
+    name = lambda: "".join(rng.choice("klmnopqrstu") for _ in range(9))
+    rows = []
+    for i in range(25):
+        lines = [say(15) for _ in range(3)]
+        if i < 3:
+            lines.append(f"Welcome back to us dear {name()} you have new messages and some mail today from {name()}")
+            lines.append(f"{name()} has left a new comment under the picture of {name()}, and you can answer here")
+        if i < 10:
+            lines.append(f"Posted by {name()} on Monday in Berlin")
+        if i < 9:
+            lines.append(f"Written by {name()} on Sunday in Paris")
+        rows.append((i, "\n".join(lines)))
+    out = kept(spark, rows)
+    gone = ("Welcome", "Posted")
+    assert all(out[i] == "\n".join(x for x in t.split("\n") if not x.startswith(gone) and " has left a new " not in x) for i, t in rows)
