@@ -13,7 +13,8 @@ order whose n-gram occurs elsewhere, times BACKOFF for each order given up; a wo
 other document has scores BACKOFF ** order / (N' + 1), N' the number of words elsewhere.
 
 Words are lower-cased (A-Z) runs without ASCII white space; n-grams are compared by 64-bit
-hashes. The order is a parameter; the registered query uses 2 (see README).
+hashes. The order is a parameter; the registered query uses 3. Bytes move packed: an n-gram as its
+distance from the one before it in its bucket, all numbers without their leading zero bytes.
 
 Defined cases: null and empty texts score 0 over 0 words; a single document scores every word
 as unknown; a text may be any length; copies of a document count as other documents; repeated
@@ -64,6 +65,28 @@ def _by_bucket(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers by byte planes, without the planes that are all zero."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
+
+
+def packed_grams(grams: np.ndarray, buckets: int) -> bytes:
+    """Sorted n-grams of one bucket: they differ by multiples of the number of buckets."""
+    return packed(np.diff(grams // np.uint64(buckets), prepend=np.uint64(0)))
+
+
+def unpacked_grams(data: bytes, bucket: int, buckets: int) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+
+
 def score_text(text: str, order: int, known: np.ndarray, totals: np.ndarray, all_words: int) -> tuple[int, int, float]:
     """Words, words that backed off, and log score of a text, from the totals of known n-grams."""
     hashes = gram_hashes(text, order)
@@ -105,20 +128,21 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
     def explode(group: pa.Table) -> pa.Table:
         grams, counts = _block_grams(group.column("text").to_pylist(), order)
         by, starts = _by_bucket(grams, buckets)
-        grams, counts = grams[by], counts[by].astype(np.uint32)
+        grams, counts = grams[by], counts[by]
         used = np.flatnonzero(np.diff(starts))
-        cut = lambda x: [x[starts[b]:starts[b + 1]].tobytes() for b in used]
+        cut = lambda x, pack: [pack(x[starts[b]:starts[b + 1]]) for b in used]
         return pa.table([pa.array(used, pa.int32()), pa.array([group.column("block")[0].as_py()] * len(used), pa.int32()),
-                         pa.array(cut(grams), pa.binary()), pa.array(cut(counts), pa.binary())], schema=GRAMS)
+                         pa.array(cut(grams, lambda x: packed_grams(x, buckets)), pa.binary()), pa.array(cut(counts, packed), pa.binary())], schema=GRAMS)
 
     def join_counts(group: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(b, np.uint64) for b in group.column("grams").to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group.column("counts").to_pylist()])
+        bucket = group.column("bucket")[0].as_py()
+        sent = [unpacked_grams(b, bucket, buckets) for b in group.column("grams").to_pylist()]
+        counts = np.concatenate([unpacked(b) for b in group.column("counts").to_pylist()])
         known, inverse = np.unique(np.concatenate(sent), return_inverse=True)
         totals = np.bincount(inverse, weights=counts, minlength=len(known)).astype(np.uint64)[inverse]
         ends = np.cumsum([len(s) for s in sent])
         return pa.table([group.column("block"), group.column("bucket"),
-                         pa.array([t.tobytes() for t in np.split(totals, ends[:-1])], pa.binary())], schema=TOTALS)
+                         pa.array([packed(t) for t in np.split(totals, ends[:-1])], pa.binary())], schema=TOTALS)
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
         texts = group.column("text").to_pylist()
@@ -126,7 +150,7 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
         totals = np.zeros(len(known), dtype=np.int64)
         by, starts = _by_bucket(known, buckets)
         for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-            totals[by[starts[bucket]:starts[bucket + 1]]] = np.frombuffer(found, np.uint64)
+            totals[by[starts[bucket]:starts[bucket + 1]]] = unpacked(found)
         out = [score_text(t, order, known, totals, all_words) for t in texts]
         return pa.table([group.column("doc_id"), *(pa.array([r[i] for r in out], SCORES.field(i + 1).type) for i in range(3))], schema=SCORES)
 

@@ -72,7 +72,7 @@ def op9_toxicity(spark, sf_dir):
 
 @query
 def op10_lm_scoring(spark, sf_dir):
-    return lm.scores(table(spark, sf_dir, "documents"))
+    return lm.scores(table(spark, sf_dir, "documents"), order=3)
 
 
 @query
