@@ -21,8 +21,8 @@ group is expanded into all its pairs, and no bucket is capped.
 
 Defined cases: null and empty texts and texts without words have the empty set, no links and
 their own id as component; texts may be any length; equal texts are one class; rows that
-repeat a doc_id with another text are judged by their own text; a null id can't be a
-component's smallest id unless all its ids are null; an empty table gives no rows.
+repeat a doc_id with another text are judged by their own text, and so are rows with a null id; a
+null id can't be a component's smallest id unless all its ids are null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -150,15 +150,15 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     """(node, elements) of the given nodes, from one document of each class."""
-    needed = classes.join(nodes, "node").select("node", "doc_id", "set")
-    rows = id_text(docs).join(needed, "doc_id")
+    needed = classes.join(nodes, "node").select("node", "key", "set")
+    rows = id_text(docs).withColumn("key", F.xxhash64("doc_id", "text")).join(needed, "key")
 
     def make():
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             found = {}
             for node, digest, text in zip(*(part.column(c).to_pylist() for c in ("node", "set", "text")), strict=True):
                 elements = shingles(text, settings.words)
-                if xxhash.xxh3_128_digest(elements.tobytes()) == digest:  # not another row of that id
+                if xxhash.xxh3_128_digest(elements.tobytes()) == digest:  # not another row of that key
                     found[node] = elements.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), lists(list(found.values()), pa.int64())], ["node", "elements"])
 
@@ -284,7 +284,7 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = stored(sketches(docs, settings), "near-sketches")
     # numbered once and written, so numbers stay
     classes = stored(rows.where(F.col("set").isNotNull()).groupBy("set").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()), "near-classes")
     entries = classes.select("node", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("bucket")
