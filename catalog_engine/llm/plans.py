@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from catalog_engine.llm import bpe, fingerprints, languages, linededup, lm, mixing, neardedup, quality, token_files, toxicity
+from catalog_engine.llm import (bpe, divergence, filter_audit, fingerprints, languages, linededup, lm, mixing, neardedup, quality, token_files,
+                                topk_search, toxicity)
 from catalog_engine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +76,30 @@ def op10_lm_scoring(spark, sf_dir):
     return lm.scores(table(spark, sf_dir, "documents"), order=3)
 
 
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = filter_audit.oracle()
+
+
+@query
+def op12_topk_search(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_topk_search"] = topk_search.oracle()
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = divergence.oracle()
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
