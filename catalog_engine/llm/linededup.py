@@ -50,8 +50,6 @@ out, MIN_DOCS from GENERAL_TOKENS tokens on; below, SHORT_MIN_DOCS at MIN_TOKENS
 inverse ratio to the length."""
 COPIES = Settings(words=5, percent=80)
 """Near copies, as the pipeline's near-duplicate removal has them."""
-COPY_SHARE = 0.5
-"""Not used any more: the share of the earlier rule, which tests/llm/test_lines.py restates."""
 
 FIELD = re.compile(r"\S*\d\S*")
 
@@ -168,22 +166,27 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return _recurring_lines(stored(each.drop("same").join(copies, "doc"), "line-copies")).select("doc", "line").distinct()
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """The rows of docs with text cut (other columns unchanged), and _lines, _dropped: the
-    numbers of their lines and of those dropped."""
-    drops = recurring_lines(docs).groupBy("doc").agg(F.collect_list("line").alias("_cut"))  # lines of one text
+def _cut_rows(docs: DataFrame) -> DataFrame:
+    """(row, text, n_lines, n_dropped) of every row of docs: the row itself as a struct, so that no
+    column of docs can clash, its text after line dedup, and the numbers of its lines."""
+    drops = recurring_lines(docs).groupBy("doc").agg(F.collect_list("line").alias("cut"))  # lines of one text
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_doc", doc_key()).join(drops, F.col("_doc") == drops["doc"], "left")
-    lines = F.split(text, "\n")
-    cut = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_cut"), i)), "\n")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return rows.select(*others, F.when(F.col("_cut").isNull(), text).otherwise(cut).alias("text"),
-                       F.when(text == "", 0).otherwise(F.size(lines)).alias("_lines"),
-                       F.coalesce(F.size("_cut"), F.lit(0)).alias("_dropped"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("key"), text.alias("text"))
+    found = rows.join(drops, F.col("key") == F.col("doc"), "left").select("row", "text", F.split("text", "\n").alias("lines"), "cut")
+    # set difference and access by position: linear in the lines, however many are cut
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
+    cut = F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n")
+    return found.select("row", F.when(F.col("cut").isNull(), F.col("text")).otherwise(cut).alias("text"),
+                        F.when(F.col("text") == "", 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+                        F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def drop_lines(docs: DataFrame) -> DataFrame:
+    """The rows of docs with text cut; other columns, whatever their names, unchanged."""
+    rows = _cut_rows(docs)
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) of every document after line dedup."""
-    out = drop_lines(docs.select("doc_id", "text"))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_lines").cast("long").alias("n_lines"),
-                      F.col("_dropped").cast("long").alias("n_dropped"), "text")
+    return _cut_rows(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", "text")

@@ -8,7 +8,7 @@ from catalog_engine.llm.common import stored
 
 def test_one_query_for_each_operator():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 11)]
+    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in entry.queries()
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "near_dedup", "source_mixing", "bpe"]
 
