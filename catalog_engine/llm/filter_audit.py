@@ -9,7 +9,7 @@ read off the at most 32 counts of a part.
 
 Copies before the shuffle: a task that has met a text with a smaller id knows a row's flag
 already and sends no text for it, so a text that a third of all rows hold travels about once
-for each task. Heavy prefixes are known by hash, one entry for RANGE_BYTES / 2 bytes of input.
+for each task. Heavy prefixes are known by hash, one entry for half a range of input.
 
 Defined cases: null texts and sources are empty ones; empty texts equal each other; a null id
 is neither smaller than others nor fails E, and has no labels; rows that repeat an id count
@@ -39,8 +39,9 @@ CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 POINT_STARTS = bytes(b for b in range(256) if not 0x80 <= b < 0xC0)
 """Bytes that start a code point."""
 
-RANGE_BYTES = 32 << 20
-"""Text bytes of one range, that is of one task's trie."""
+RANGE_BYTES, LEAST_RANGE_BYTES = 32 << 20, 1 << 20
+"""Text bytes of one range, that is of one task's trie: no more than the first; less, down to the
+second, where that gives the shuffle's partitions a range each."""
 FIRST_LENGTH, LENGTH_FACTOR = 16, 4
 """Code points of the shortest adaptive prefix, and how much longer it gets in each round."""
 SPARK_SEED = 42
@@ -216,8 +217,10 @@ def masks(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    known = stored(screened(rows, heavy_prefixes(rows, RANGE_BYTES // 2)), "audit-rows")
-    ranges = max(1, math.ceil(total / RANGE_BYTES))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = min(RANGE_BYTES, max(LEAST_RANGE_BYTES, total // partitions))
+    known = stored(screened(rows, heavy_prefixes(rows, size // 2)), "audit-rows")
+    ranges = max(1, math.ceil(total / size))
     open_rows = known.where(F.col("prefix").isNotNull()).repartitionByRange(ranges, "prefix")
     flagged = open_rows.select("doc_id", "part", "mask", "text").mapInArrow(_flag, "doc_id long, part string, mask int")
     return flagged.unionByName(known.where(F.col("prefix").isNull()).select("doc_id", "part", "mask"))

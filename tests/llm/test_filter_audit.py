@@ -73,6 +73,7 @@ def test_masks_of_copies_in_any_order(spark, words, monkeypatch):
     for seed in range(3):
         rows = random_rows(words, 150, seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        monkeypatch.setattr(fa, "LEAST_RANGE_BYTES", (1 << 30, 20_000, 2_000)[seed])
         monkeypatch.setattr(fa, "RANGE_BYTES", (1 << 30, 20_000, 2_000)[seed])  # up to many ranges and rounds of prefixes
         found = sorted(((r.doc_id, r.part, "".join(c for k, c in enumerate("ABCDE") if r.mask >> k & 1)) for r in fa.masks(docs).collect()), key=str)
         assert found == sorted(brute_masks(rows), key=str)
