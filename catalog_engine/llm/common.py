@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,37 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+INNERMOST = []
+_passing: ContextVar[list | None] = ContextVar("tables of the innermost passing() block", default=None)
+
+
+def stored(df: DataFrame, label: str, block: list | None = INNERMOST) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so what follows
-    survives lost executors and never computes df again."""
+    survives lost executors and never computes df again. The table goes at the end of the
+    given passing() block, by default of the innermost one, if any; with None it stays."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    block = _passing.get() if block is INNERMOST else block
+    if block is not None:
+        block.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing() -> Iterator[list]:
+    """A block of work: the tables stored for it are deleted at its end."""
+    tables: list = []
+    token = _passing.set(tables)
+    try:
+        yield tables
+    finally:
+        _passing.reset(token)
+        for spark, path in tables:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text each (one row at least)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.llm.common import id_text, map_slices, stored
+from catalog_engine.llm.common import id_text, map_slices, passing, stored
 from catalog_engine.llm.neardedup import Settings, groups
 
 LEADING = 3
@@ -150,8 +150,8 @@ def _recurring_lines(lines: DataFrame) -> DataFrame:
     return lines.join(counts.where(F.col("_docs") >= F.col("least")).select("template"), "template", "left_semi")
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line) of all lines to drop."""
+def _recurring_candidates(docs: DataFrame) -> DataFrame:
+    """(doc, same, line, template, least) of the lines that recur in different texts."""
     lines = stored(parsed_lines(docs), "line-templates")
     leaves = (lines.select("leaf", F.array_min("least").alias("_least"), "same").distinct()
               .groupBy("leaf").agg(F.count(F.lit(1)).alias("_docs"), F.min("_least").alias("_least")).where(F.col("_docs") >= F.col("_least")))
@@ -159,11 +159,19 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     lines = lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["doc", "line", "leaf"])
     each = lines.select("doc", "same", "line", F.explode(F.arrays_zip("templates", "least")).alias("_part"))
     each = stored(each.select("doc", "same", "line", F.col("_part.templates").alias("template"), F.col("_part.least").alias("least")), "line-candidates")
-    each = stored(_recurring_lines(each), "line-recurring")
-    texts = each.select(F.col("doc").alias("doc_id")).distinct()
-    holders = id_text(docs.select(doc_key().alias("doc_id"), "text")).join(texts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    copies = groups(stored(holders, "line-holders"), COPIES).select(F.col("doc_id").alias("doc"), F.col("label").alias("same"))
-    return _recurring_lines(stored(each.drop("same").join(copies, "doc"), "line-copies")).select("doc", "line").distinct()
+    return _recurring_lines(each)
+
+
+def recurring_lines(docs: DataFrame) -> DataFrame:
+    """(doc, line) of all lines to drop."""
+    with passing() as block:
+        with passing():  # the templates of all lines go before copies are looked for
+            each = stored(_recurring_candidates(docs), "line-recurring", block)
+        texts = each.select(F.col("doc").alias("doc_id")).distinct()
+        holders = id_text(docs.select(doc_key().alias("doc_id"), "text")).join(texts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        copies = groups(stored(holders, "line-holders"), COPIES).select(F.col("doc_id").alias("doc"), F.col("label").alias("same"))
+        counted = stored(each.drop("same").join(copies, "doc"), "line-copies")
+        return stored(_recurring_lines(counted).select("doc", "line").distinct(), "line-drops", None)
 
 
 def _cut_rows(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
+import os
 import random
 
+from catalog_engine.llm import common
 from catalog_engine.llm import linededup as ld
 
 
@@ -69,3 +71,20 @@ def test_fields_early_in_short_lines_and_in_two_places(spark, words):
     out = kept(spark, rows)
     gone = ("Welcome", "Posted")
     assert all(out[i] == "\n".join(x for x in t.split("\n") if not x.startswith(gone) and " has left a new " not in x) for i, t in rows)
+
+
+def test_only_the_list_of_drops_stays_stored(spark, words, tmp_path, monkeypatch):
+    say = lines_of(words, 26)
+    shared = say(12)
+    docs = spark.createDataFrame([(i, f"{say(20)}\n{shared}") for i in range(6)], "doc_id long, text string")
+    names = iter(range(1000))
+    monkeypatch.setattr(common, "scratch_path", lambda spark, label: f"{tmp_path}/{label}-{next(names)}")
+    tables = lambda: sorted(x.rsplit("-", 1)[0] for x in os.listdir(tmp_path))
+    drops = ld.recurring_lines(docs)
+    assert drops.count() == 6 and tables() == ["line-drops"]
+    with common.passing() as outer:
+        with common.passing():
+            kept = common.stored(docs, "a", outer)
+            common.stored(docs, "b")
+        assert kept.count() == 6 and tables() == ["a", "line-drops"]
+    assert tables() == ["line-drops"]
