@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from catalog_engine import schema as S
 from catalog_engine.functions import exprs as X
+from catalog_engine.operators import rules
 
 LOG_EPS = 1e-7
 
@@ -191,30 +192,20 @@ def family_means(scores: DataFrame, digits: int = 6) -> DataFrame:
                                         F.count(F.lit(1)).alias("n_models"))
 
 
-# One-line trait of each learning family.
-FAMILY_TRAITS = [
-    ("structured", "metadata based"),
-    ("text", "TF-IDF + n-grams"),
-    ("transfer", "fine-tuning"),
-    ("ensemble", "soft voting"),
-]
-
-
 def family_summary(scores: DataFrame, ensemble: DataFrame | None = None,
-                   digits: int = 6) -> DataFrame:
+                   traits: dict | None = None, digits: int = 6) -> DataFrame:
     """Model count and best score per family, plus the ensemble row
-    (one model, its accuracy) when given, each with its trait (a fixed
-    4-row table, broadcast)."""
+    (one model, its accuracy) when given, each with its trait from the
+    caller's notes on families."""
     fam = scores.groupBy("family").agg(F.count(F.lit(1)).alias("n_models"),
                                        F.max("score").alias("best_score"))
     if ensemble is not None:
         fam = fam.unionByName(ensemble.select(F.lit("ensemble").alias("family"),
                                               F.lit(1).cast("long").alias("n_models"),
                                               F.col("ensemble").alias("best_score")))
-    traits = scores.sparkSession.createDataFrame(FAMILY_TRAITS, "family string, trait string")
-    return (fam.join(F.broadcast(traits), "family", "left")
-               .select("family", "n_models", F.bround("best_score", digits).alias("best_score"),
-                       "trait"))
+    trait = rules.note("family", traits) if traits else F.lit(None).cast("string")
+    return fam.select("family", "n_models", F.bround("best_score", digits).alias("best_score"),
+                      trait.alias("trait"))
 
 
 def ensemble_gain(scores: DataFrame, ensemble_score: DataFrame, digits: int = 6) -> DataFrame:

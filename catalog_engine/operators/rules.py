@@ -2,62 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_engine import schema as S
 
-# Strategy guide per price tier (marketing, stock, pricing).
-TIER_GUIDE = [
-    ("Low", "price promotions, bundles, volume discounts",
-     "high turnover, large stock, fast replenishment",
-     "price sensitive market; watch competitor prices"),
-    ("Medium", "loyalty programme, targeted marketing, seasonal discounts",
-     "medium stock, periodic replenishment, demand forecasts",
-     "test prices within +-10 percent"),
-    ("High", "premium experience, personal service, limited editions",
-     "low stock, order-driven sourcing, stress scarcity",
-     "sell value over price; strengthen the brand premium"),
-]
-
-# One-line marketing advice per predicted tier.
-TIER_ADVICE = {
-    "Low": "low tier: discount marketing for price-sensitive customers",
-    "High": "high tier: brand-led advertising and review strategy",
-    "Medium": "middle tier: price tests and recommendation tuning",
-}
-
 # Data-quality thresholds.
 BALANCE_MIN = 0.8
 DIVERSITY_MIN = 0.1
 ROWS_MIN = 1000
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def guide_values_sql() -> str:
-    return ", ".join("(" + ", ".join(_sql_str(v) for v in row) + ")" for row in TIER_GUIDE)
-
-
-def guide_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TIER_GUIDE, f"{S.TIER} string, marketing string, "
-                                             "stock string, pricing string")
-
-
-def with_tier_guide(spark: SparkSession, df: DataFrame, key: str = S.TIER) -> DataFrame:
-    """Enrich rows by tier with the strategy guide (3 fixed rows, broadcast)."""
-    g = guide_frame(spark).withColumnRenamed(S.TIER, key)
-    return df.join(F.broadcast(g), key, "left")
+def with_guide(df: DataFrame, guide: DataFrame, key: str = S.TIER) -> DataFrame:
+    """Rows enriched from a guide table that the caller supplies, one row for each key. The
+    planner broadcasts it if it is small enough."""
+    return df.join(guide, key, "left")
 
 
-def tier_advice(col: str = "prediction"):
-    """Marketing advice for a predicted tier, as a CASE expression."""
-    c = F.col(col)
-    return (F.when(c == "Low", F.lit(TIER_ADVICE["Low"]))
-            .when(c == "High", F.lit(TIER_ADVICE["High"]))
-            .otherwise(F.lit(TIER_ADVICE["Medium"])))
+def note(col: str, notes: dict) -> Column:
+    """The caller's note on a value, as a CASE expression; null for other values."""
+    found = None
+    for value, text in notes.items():
+        found = (F if found is None else found).when(F.col(col) == value, F.lit(text))
+    return found
 
 
 def quality_advice(ind: DataFrame) -> DataFrame:

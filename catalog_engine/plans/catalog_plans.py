@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catalog_engine import schema as S
 from catalog_engine.functions import sqltext as Q
 from catalog_engine.operators import reshape, rules, stats, topk, transforms
+from catalog_engine.plans import fixtures
 from catalog_engine.plans.registry import register
 from catalog_engine.sources import catalog as C
 from catalog_engine.sources import generated
@@ -299,11 +300,11 @@ def u6_stats_transposed(spark, d):
 
 @register("j1_tier_guide", f"""{W}
 , c AS (SELECT PriceCategory, count(*) AS n FROM catalog GROUP BY PriceCategory),
-g(PriceCategory, marketing, stock, pricing) AS (VALUES {rules.guide_values_sql()})
-SELECT c.PriceCategory, c.n, g.marketing, g.stock, g.pricing FROM c LEFT JOIN g USING (PriceCategory)""")
+g(PriceCategory, shelf, review_days, margin_floor) AS (VALUES {fixtures.values_sql(fixtures.TIER_GUIDE)})
+SELECT c.PriceCategory, c.n, g.shelf, g.review_days, CAST(g.margin_floor AS DOUBLE) AS margin_floor FROM c LEFT JOIN g USING (PriceCategory)""")
 def j1_tier_guide(spark, d):
     counts = stats.value_counts(C.with_tier(C.lines(spark, d)), S.TIER)
-    return rules.with_tier_guide(spark, counts)
+    return rules.with_guide(counts, spark.createDataFrame(fixtures.TIER_GUIDE, fixtures.TIER_GUIDE_SCHEMA))
 
 
 @register("j3_top_brand_rows", f"""{W}

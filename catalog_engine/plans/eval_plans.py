@@ -9,6 +9,7 @@ from catalog_engine.functions import exprs as X
 from catalog_engine.functions import sqltext as Q
 from catalog_engine.operators import evaluate as E
 from catalog_engine.operators import rules, stats, topk
+from catalog_engine.plans import fixtures
 from catalog_engine.plans.registry import register
 from catalog_engine.sources import catalog as C
 from catalog_engine.sources import scored as SC
@@ -233,8 +234,7 @@ def a18_family_means(spark, d):
     return E.family_means(_scores(spark, d))
 
 
-_TRAITS_SQL = "traits(family, trait) AS (VALUES " + ", ".join(
-    f"('{f}', '{t}')" for f, t in E.FAMILY_TRAITS) + ")"
+_TRAITS_SQL = f"traits(family, trait) AS (VALUES {fixtures.values_sql(fixtures.FAMILY_NOTES.items())})"
 
 
 @register("a20_family_summary", f"""{WS}{_scores_sql()}{_vote_sql()}{_ENS_SQL}, {_TRAITS_SQL},
@@ -243,7 +243,7 @@ fam AS (SELECT family, count(*) AS n_models, max(score) AS best_score FROM score
 SELECT family, n_models, round_even(best_score, 6) AS best_score, trait
 FROM fam LEFT JOIN traits USING (family)""")
 def a20_family_summary(spark, d):
-    return E.family_summary(_scores(spark, d), _ensemble(spark, d))
+    return E.family_summary(_scores(spark, d), _ensemble(spark, d), fixtures.FAMILY_NOTES)
 
 
 @register("a23_report_facts", f"""{WS},
@@ -315,14 +315,11 @@ def t5_first_misclassified(spark, d):
 
 
 @register("d1_advice_by_prediction", f"""{WS}{_rf_sql()}
-SELECT prediction, count(*) AS n,
-       CASE WHEN prediction = 'Low' THEN '{rules.TIER_ADVICE["Low"]}'
-            WHEN prediction = 'High' THEN '{rules.TIER_ADVICE["High"]}'
-            ELSE '{rules.TIER_ADVICE["Medium"]}' END AS advice
+SELECT prediction, count(*) AS n, {fixtures.case_sql("prediction", fixtures.TIER_NOTES)} AS advice
 FROM rf GROUP BY prediction""")
 def d1_advice_by_prediction(spark, d):
     counts = _rf(spark, d).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("advice", rules.tier_advice("prediction"))
+    return counts.withColumn("advice", rules.note("prediction", fixtures.TIER_NOTES))
 
 
 @register("d3_d4_model_bands", f"""{WS},

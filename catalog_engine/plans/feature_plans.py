@@ -73,3 +73,50 @@ def f10_encode_unseen(spark, d):
     codes = FE.label_codes(df.filter(~test & (F.col(S.SOURCE) == "A")).select("l_suppkey").distinct(), "l_suppkey", "code")
     out = FE.encode(df.filter(test), codes, "l_suppkey", handle_unknown="keep")
     return out.select(S.PRODUCT_ID, "l_suppkey", F.col("code").cast("int").alias("code"))
+
+
+@register("f9_product_codes", f"""{W}
+SELECT product_id, CAST(row_number() OVER (ORDER BY product_id) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT product_id FROM catalog)""")
+def f9_product_codes(spark, d):
+    """Codes of a column with nearly as many categories as rows."""
+    return FE.label_codes(C.lines(spark, d), S.PRODUCT_ID, "code")
+
+
+SPLIT_KEYS = [S.PRODUCT_ID, "l_suppkey", "cents"]
+
+
+@register("f17_exact_split", f"""{W}
+, keyed AS (SELECT product_id, l_orderkey, l_linenumber, l_suppkey, CAST(round(Price * 100) AS BIGINT) AS cents FROM catalog),
+placed AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('-', product_id, CAST(l_suppkey AS VARCHAR), CAST(cents AS VARCHAR))
+                                                     || '|{X.MULT_SPLIT}')) AS place, count(*) OVER () AS n FROM keyed)
+SELECT product_id, l_orderkey, l_linenumber, l_suppkey, cents, CASE WHEN place <= ceil({Q.dbl(0.2)} * n) THEN 'test' ELSE 'train' END AS split
+FROM placed""")
+def f17_exact_split(spark, d):
+    """Hold-out of exactly ceil(0.2 n) rows."""
+    rows = C.lines(spark, d).select(S.PRODUCT_ID, "l_orderkey", "l_linenumber", "l_suppkey",
+                                    F.round(F.col(S.PRICE) * 100).cast("long").alias("cents"))
+    return FE.exact_split(rows, SPLIT_KEYS, 0.2)
+
+
+COVARIANCE_COLUMNS = [S.IMAGES, "l_suppkey", "l_linenumber"]
+
+
+def _covariance_sql(cols) -> str:
+    pairs = [(a, b) for k, a in enumerate(cols) for b in cols[k:]]
+    return " UNION ALL ".join(
+        f"""SELECT '{a}' AS i, '{b}' AS j, (CAST(sum(CAST({a} AS HUGEINT) * {b}) AS DOUBLE) - CAST(sum({a}) AS DOUBLE) * CAST(sum({b}) AS DOUBLE)
+            / CAST(count(*) AS DOUBLE)) / (CAST(count(*) AS DOUBLE) - 1) AS covariance FROM catalog""" for a, b in pairs)
+
+
+@register("f14_covariance", f"{W} {_covariance_sql(COVARIANCE_COLUMNS)}")
+def f14_covariance(spark, d):
+    return FE.covariance(C.lines(spark, d), COVARIANCE_COLUMNS)
+
+
+@register("f14_principal_components")
+def f14_principal_components(spark, d):
+    """Two principal components of every catalog row."""
+    rows = C.lines(spark, d)
+    axes = FE.principal_axes(FE.covariance(rows, COVARIANCE_COLUMNS), COVARIANCE_COLUMNS)
+    return FE.project(rows, COVARIANCE_COLUMNS, axes).select(S.PRODUCT_ID, "pc1", "pc2")

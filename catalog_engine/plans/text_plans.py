@@ -18,7 +18,7 @@ TRAIN_SHARE_TEST = 0.2
 
 
 def _docs(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", "text")
+    return TX.spread(read_table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _vocabulary(docs):
@@ -85,6 +85,22 @@ def f4_f5_vocabulary(spark, d):
     return v.select("term", "idx", "df", "cf", F.bround("idf", 9).alias("idf"))
 
 
+FULL = TX.TfidfSpec(pattern=TX.ASCII_TOKEN, max_features=None)
+
+
+@register("f5_full_vocabulary", f"""WITH {_terms_sql()},
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM grams) GROUP BY doc_id, term),
+nd AS (SELECT count(*) AS n FROM documents),
+dfs AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term)
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, df, CAST(cf AS BIGINT) AS cf
+FROM dfs, nd WHERE df >= {FULL.min_df} AND df <= {Q.dbl(FULL.max_df)} * n""")
+def f5_full_vocabulary(spark, d):
+    """Every term within the document-frequency bounds, numbered in order: no top-N."""
+    docs = _docs(spark, d)
+    n = docs.select(F.count(F.lit(1))).scalar()
+    return TX.select_vocabulary(TX.term_stats(TX.analyze(docs, "text", FULL)), n, FULL).select("term", "idx", "df", "cf")
+
+
 @register("f6_tfidf_relational", f"""WITH {_vocab_sql()}{_weights_sql()}
 SELECT doc_id, term, idx, round_even(weight, 9) AS weight FROM wn""")
 def f6_tfidf_relational(spark, d):
