@@ -175,15 +175,14 @@ def histogram(df: DataFrame, x: str, n_bins: int, by: list | None = None,
 
     Without ``by`` the range comes from scalar subqueries (merged into one
     aggregate by Catalyst). With ``by`` each group gets its own range from a
-    per-group aggregate; ``by`` names class columns, so that table has a row for
-    each combination of classes and is broadcast, and no row is shuffled before
-    the partial count of its bin. Only non-empty bins are returned.
+    per-group aggregate, which adaptive execution broadcasts where its size,
+    known by then, allows it. Only non-empty bins are returned.
     """
     vals = df.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x)))
     by = list(by or [])
     if by:
         rng = vals.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-        vals = vals.join(F.broadcast(rng), by, "inner")
+        vals = vals.join(rng, by, "inner")
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
         lo = vals.select(F.min(x)).scalar()

@@ -47,19 +47,33 @@ def w1_first_per_class(spark, d):
 
 
 _SOFTMAX_SQL = """
-z AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 10), lambda x: CAST(x AS DOUBLE)) AS z
-      FROM embeddings),
+entries AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+means AS (SELECT label, i, round_even(avg(x), 9) AS m FROM entries GROUP BY label, i),
+centres AS (SELECT list(c ORDER BY label) AS centres FROM (SELECT label, list(m ORDER BY i) AS c FROM means GROUP BY label)),
+z AS (SELECT vec_id, label, list_transform(centres, lambda c: list_inner_product(c, CAST(embedding AS DOUBLE[]))) AS z
+      FROM embeddings, centres),
 e AS (SELECT vec_id, label, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z),
 p AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"""
 
 
+def _centre_logits(spark, d):
+    """(vec_id, label, z): a logit for each class, the inner product of the whole vector with
+    the mean vector of the class. The classes' means are a few rows, read as one scalar."""
+    emb = _emb(spark, d)
+    means = (emb.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i")
+             .agg(F.bround(F.avg(F.col("x").cast("double")), 9).alias("m")))
+    centre = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("c"))
+    centres = centre.select(F.transform(F.sort_array(F.collect_list(F.struct("label", "c"))), lambda e: e["c"])).scalar()
+    vectors = emb.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"), centres.alias("centres"))
+    inner = lambda c: F.aggregate(F.zip_with(c, "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    return vectors.select("vec_id", "label", F.transform("centres", inner).alias("z"))
+
+
 @register("f16_softmax_argmax", f"""WITH {_SOFTMAX_SQL}
 SELECT vec_id, label, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred,
        round_even(list_max(p), 9) AS p_max FROM p""")
 def f16_softmax_argmax(spark, d):
-    z = _emb(spark, d).select("vec_id", "label", F.transform(F.slice("embedding", 1, 10),
-                                                             lambda x: x.cast("double")).alias("z"))
-    p = z.withColumn("p", X.softmax("z"))
+    p = _centre_logits(spark, d).withColumn("p", X.softmax("z"))
     return p.select("vec_id", "label", X.argmax("p").alias("pred"),
                     F.bround(F.array_max("p"), 9).alias("p_max"))
 
@@ -70,10 +84,8 @@ SELECT p.label, class_name, count(*) AS n,
        round_even(avg(-ln(greatest(least(p[p.label + 1], {Q.dbl(1 - 1e-7)}), {Q.dbl(1e-7)}))), 6) AS loss
 FROM p LEFT JOIN classes USING (label) GROUP BY p.label, class_name""")
 def m24_softmax_logloss_by_class(spark, d):
-    """M24 per class on soft-max of the first 10 embedding values as logits."""
-    z = _emb(spark, d).select("vec_id", "label", F.transform(F.slice("embedding", 1, 10),
-                                                             lambda x: x.cast("double")).alias("z"))
-    p = z.withColumn("p", X.softmax("z"))
+    """M24 per class on the soft-max of the class-mean logits."""
+    p = _centre_logits(spark, d).withColumn("p", X.softmax("z"))
     pl = F.element_at("p", F.col("label") + 1)
     clipped = F.greatest(F.least(pl, F.lit(1 - 1e-7)), F.lit(1e-7))
     agg = p.groupBy("label").agg(

@@ -146,13 +146,16 @@ def catalog_facts(line_df: DataFrame, part_df: DataFrame, tiers=STANDIN_TIERS,
     rolled = part_rollup(line_df, part_df, [], [
         F.count(F.lit(1)).alias("n"), F.sum(S.PRICE).alias("s"), F.count(S.PRICE).alias("c"),
         *[F.count_if(t == F.lit(v)).alias(f"n_{v.lower()}") for v in S.TIERS]])
+    tier_sums = [f"n_{v.lower()}" for v in S.TIERS]
+    # distinct values are counted over the few combinations of attributes, not over the parts
+    small = rolled.groupBy(S.BRAND, S.GENDER, S.COLOR).agg(*[F.sum(c).alias(c) for c in ("n", "s", "c", *tier_sums)])
     n = F.sum("n")
-    return rolled.agg(
+    return small.agg(
         X.distinct_incl_null(S.BRAND).alias("n_brands"),
         X.distinct_incl_null(S.GENDER).alias("n_genders"),
         X.distinct_incl_null(S.COLOR).alias("n_colors"),
         F.bround(F.try_divide(F.sum("s"), F.sum("c")), digits).alias("avg_price"),
-        *[X.pct(F.sum(f"n_{v.lower()}"), n, digits).alias(f"pct_{v.lower()}") for v in S.TIERS])
+        *[X.pct(F.sum(c), n, digits).alias(f"pct_{v.lower()}") for c, v in zip(tier_sums, S.TIERS, strict=True)])
 
 
 # --------------------------------------------------------------------------

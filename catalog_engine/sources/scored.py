@@ -68,8 +68,8 @@ def scored(tiered_lines: DataFrame, part_df: DataFrame, models: list | None = No
         *[F.count_if(F.col("label_idx") == j).alias(f"n{j}") for j in range(3)])
 
     def apply(df: DataFrame, model: str) -> DataFrame:
-        # a row for each value of a small fixed domain
-        own = F.broadcast(counts.filter(F.col("m") == model).select(F.col("v").alias(f"f_{model}"), "n0", "n1", "n2"))
+        # adaptive execution broadcasts it where its size, known by then, allows it
+        own = counts.filter(F.col("m") == model).select(F.col("v").alias(f"f_{model}"), "n0", "n1", "n2")
         n = [F.coalesce(F.col(f"n{j}"), F.lit(0)).cast("double") + F.lit(1.0) for j in range(3)]
         probs = F.array(*[x / (n[0] + n[1] + n[2]) for x in n])
         return df.join(own, f"f_{model}", "left").withColumn(f"p_{model}", probs).drop("n0", "n1", "n2", f"f_{model}")
