@@ -14,9 +14,3 @@ def melt(df: DataFrame, ids: list, values: list, var: str = "metric",
 def transpose_row(df: DataFrame, var: str = "metric", value: str = "value") -> DataFrame:
     """A one-row report as (metric, value) rows."""
     return df.unpivot([], df.columns, var, value)
-
-
-def long_to_wide(df: DataFrame, key: str, var: str, value: str, values: list) -> DataFrame:
-    """Inverse of ``melt`` with an explicit column list (no discovery job)."""
-    from pyspark.sql import functions as F
-    return df.groupBy(key).pivot(var, values).agg(F.first(value))

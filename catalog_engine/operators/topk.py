@@ -43,8 +43,3 @@ def first_rows(tiered_lines: DataFrame, part_df: DataFrame, n: int = 10) -> Data
 def arg_max(df: DataFrame, score: str, tie: list) -> DataFrame:
     """T4: the row with the highest score (first by ``tie`` on equal scores)."""
     return df.orderBy(F.desc(score), *tie).limit(1)
-
-
-def first_n_where(df: DataFrame, cond, order: list, n: int) -> DataFrame:
-    """T5: the first n rows (by ``order``) that satisfy ``cond``."""
-    return df.filter(cond).orderBy(*order).limit(n)
