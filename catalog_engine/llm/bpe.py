@@ -5,8 +5,12 @@ place), so the root is the leftmost merge of the lowest rank. A merge changes th
 and each change climbs to the root in logarithmic time, until no pair can merge. The trees
 of all new words of a slice advance side by side as rows of one matrix.
 
-Words repeat, so a task keeps the ids of white-space chunks that it has seen, in a table of
-bounded size that is emptied when full. This changes no result.
+Words repeat, so a process keeps the ids of white-space chunks and of words that it has seen, in
+tables of bounded size: a full one becomes the older generation, from which entries that are met
+again come back. This changes no result.
+
+Code points that Python's Unicode tables don't assign may be letters, numbers or cased to the
+tokenizers library. Texts that hold any are normalised and split into words by the library.
 
 Defined cases: null and empty texts have no ids and decode to ''; a text may be any length
 (a word of n symbols costs O(n log n)); repeated rows give repeated rows.
@@ -29,7 +33,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from catalog_engine.llm.common import lists, map_slices
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 NO_PAIR = np.int64(2**62)
 PLACE_BITS = 32
 PLACE = np.int64(2**PLACE_BITS - 1)
@@ -42,7 +46,7 @@ WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 
 def _category(initial: str, top: int) -> str:
     """Character class of all code points up to top whose Unicode category starts so."""
-    own = np.fromiter((unicodedata.category(chr(c))[0] == initial for c in range(top + 1)), bool, top + 1)
+    own = np.fromiter((unicodedata.category(chr(c)).startswith(initial) for c in range(top + 1)), bool, top + 1)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2))
 
@@ -55,6 +59,22 @@ def word_pattern(top: int) -> re.Pattern:
     return re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{WHITE_SPACE}{letters}{numbers}]+")
 
 
+@lru_cache(maxsize=1)
+def _unassigned_pattern() -> re.Pattern:
+    return re.compile(f"[{_category('Cn', 0x10FFFF)}]")
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text holds code points that this Python's Unicode tables don't assign."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return _unassigned_pattern().search(text) is not None
+
+
 WIDE = re.compile("[\U00010000-\U0010ffff]")
 #: str.split() also cuts at these four, which are ordinary characters to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -64,6 +84,8 @@ CHUNK = re.compile(f"[^{WHITE_SPACE}]+")
 def split_words(chunk: str) -> list[str]:
     if chunk[-1] in ",.;:!?|" and chunk[:-1].isalpha():  # the common case, without the pattern
         return [chunk[:-1], chunk[-1]]
+    if has_unassigned(chunk):  # a word already, split off by the library
+        return [chunk]
     return word_pattern(0x10FFFF if WIDE.search(chunk) else 0xFFFF).findall(chunk)
 
 
@@ -79,6 +101,7 @@ class Vocabulary:
     """A byte-level BPE tokenizer file with an end-of-word mark."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -202,6 +225,29 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=4)
+def _library(path: str):
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
+class Known:
+    """A table of bounded size, of two generations."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.older: dict = {}
+
+    def missing(self, wanted: set) -> set:
+        """The wanted entries that aren't known; all others are in the present generation after."""
+        new = wanted.difference(self.now)
+        if len(self.now) + len(new) > CACHE_ENTRIES:
+            self.older, self.now, new = self.now, {}, wanted
+        back = self.older.keys() & new
+        self.now.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        return new - back
+
+
 class Encoder:
     """Ids of whole texts. encode_words turns new words into id bytes: by segment trees
     unless another function is given."""
@@ -209,7 +255,7 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, encode_words: Callable[[Iterable[str]], dict[str, bytes]] | None = None):
         self.vocab = vocab
         self.encode_words = encode_words or vocab.encode_words
-        self.known: dict[str, bytes] = {}
+        self.known, self.known_words = Known(), Known()
 
     def chunks(self, text: str) -> list[str | bytes]:
         """White-space chunks of the normalised text; special tokens as their id bytes."""
@@ -222,8 +268,11 @@ class Encoder:
             at = m.end()
         return out + self._plain(text[at:])
 
-    @staticmethod
-    def _plain(text: str) -> list[str]:
+    def _plain(self, text: str) -> list[str]:
+        if has_unassigned(text):
+            library = _library(self.vocab.path)
+            text = library.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
         # lower case letter by letter: no special form for a final sigma
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return CHUNK.findall(text) if SEPARATORS.search(text) else text.split()
@@ -231,26 +280,21 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Id bytes of each text. Chunks that aren't known yet are encoded together."""
         rows = [self.chunks(t) for t in texts]
-        found = [list(map(self.known.get, r)) for r in rows]
-        new = {c for r, f in zip(rows, found, strict=True) if None in f for c, i in zip(r, f, strict=True) if i is None}
+        new = self.known.missing(set().union(*rows))
         if new:
-            fresh = self._encode_chunks(new)
-            for r, f in zip(rows, found, strict=True):
-                if None in f:
-                    f[:] = [fresh[c] if i is None else i for c, i in zip(r, f, strict=True)]
-            if len(self.known) + len(fresh) > CACHE_ENTRIES:
-                self.known = {}
-            self.known.update(fresh)
-        return [b"".join(f) for f in found]
+            self.known.now.update(self._encode_chunks(new))
+        return [b"".join(map(self.known.now.__getitem__, r)) for r in rows]
 
     def _encode_chunks(self, new: set[str | bytes]) -> dict[str | bytes, bytes]:
         out = {c: c for c in new if isinstance(c, bytes)}
         plain = [c for c in new if isinstance(c, str) and c.isalpha()]  # all letters: one word
         mixed = {c: split_words(c) for c in new if isinstance(c, str) and not c.isalpha()}
-        ids = self.encode_words({*plain, *chain.from_iterable(mixed.values())})
+        words = self.known_words.missing({*plain, *chain.from_iterable(mixed.values())})
+        ids = self.known_words.now
+        if words:
+            ids.update(self.encode_words(words))
         out.update((c, ids[c]) for c in plain)
-        for chunk, words in mixed.items():
-            out[chunk] = b"".join([ids[w] for w in words])
+        out.update((chunk, b"".join(map(ids.__getitem__, words))) for chunk, words in mixed.items())
         return out
 
 

@@ -108,3 +108,25 @@ def test_token_files_random_access(spark, library, small_docs, small_rows):
             used = min(64, m.n_ids - 64 * i)
             assert ids_view[:used].tolist() == stream[64 * i:64 * i + used].tolist()
             assert mask.to_pylist() == [True] * used + [False] * (64 - used)
+
+
+def test_every_code_point_as_the_library(library):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"ab{c}cd 1{c}2 " for c in points[at:at + 2048]) for at in range(0, len(points), 2048)]
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = bpe.Encoder(bpe.vocabulary(bpe.word_bpe()))
+    for text, ids in zip(texts, wanted, strict=True):
+        assert np.frombuffer(encoder.encode([text])[0], dtype="<u4").tolist() == ids
+
+
+def test_words_come_back_from_the_older_generation(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
+    asked = []
+    vocab = bpe.vocabulary(bpe.word_bpe())
+    encoder = bpe.Encoder(vocab, lambda words: asked.extend(words) or vocab.encode_words(words))
+    plain = bpe.Encoder(vocab)
+    for k in range(40):
+        text = f"the same words, always. and word{k} {'x' * k} {' '.join(f'w{k}v{j}' for j in range(9))}"
+        assert encoder.encode([text]) == [np.frombuffer(plain.encode([text])[0], "<u4").tobytes()]
+        assert len(encoder.known.now) <= 60 and len(encoder.known_words.now) <= 60
+    assert asked.count("always") == 1  # although the tables filled many times
