@@ -16,7 +16,8 @@ same sample; offending offsets are the runs of words whose marginal is at least
 
 Defined cases: null and empty texts get the score of a document without toxic words; without
 labels of both kinds every score is 0; labels on unknown or null ids are ignored; a document
-labelled twice counts as toxic if any label says so; repeated rows give repeated rows.
+labelled twice counts as toxic if any label says so; of several texts of a labelled id the first
+in order is learned from; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -270,7 +271,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
     share = F.when(F.col("label") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
     drawn = known.where(F.col("label").isin(0, 1) & (draw < share))
     # about 2 * per_class rows of two numbers: small by construction
-    sample = id_text(docs).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    # of the texts of a repeated id the first in order is learned from
+    sample = id_text(docs).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def words(batches):
         for batch in batches:
@@ -289,16 +291,30 @@ class Scorer:
         self.model = model
         self.feature = WordFeatures(model.lexicon).__getitem__
         self.quiet: dict[int, float] = {}  # score of a text without lexicon words, by its number of words
+        self.forward = self.backward = np.zeros((0, 2))
+
+    def quiet_score(self, n: int) -> float:
+        """The score of n words that are in no lexicon entry. All their factors are equal, so the
+        forward and backward vectors of the longest such text hold those of all shorter ones."""
+        if n not in self.quiet:
+            if n > len(self.forward):
+                size = max(1024, 1 << n.bit_length())
+                local = np.array([1.0, math.exp(self.model.emission[0])])
+                inner = np.repeat((np.exp(self.model.change) * local)[None], size, axis=0)
+                first = inner.copy()
+                first[0] = np.array([[1.0, math.exp(self.model.start)]] * 2) * local
+                self.forward = _scan(first)[:, 0, :]
+                self.backward = np.concatenate([np.ones((1, 2)), _scan(inner.transpose(0, 2, 1)).sum(axis=1)[:-1]])
+            joint = self.forward[:n] * self.backward[:n][::-1]
+            self.quiet[n] = document_score(self.model, joint[:, 1] / joint.sum(axis=1))
+        return self.quiet[n]
 
     def row(self, text: str | None) -> tuple[float, list[dict[str, int]]]:
         text = text or ""
         lower = text.lower()
         features = list(map(self.feature, WORD.findall(lower)))
         if not any(features):
-            n = min(len(features), 64)  # beyond that the marginals no longer change
-            if n not in self.quiet:
-                self.quiet[n] = document_score(self.model, marginals(self.model, np.zeros(n, dtype=np.int64)))
-            return self.quiet[n], []
+            return self.quiet_score(len(features)), []
         p = marginals(self.model, np.array(features, dtype=np.int64))
         # a letter whose lower case is longer moves the offsets: they then count in the lower-cased text
         places = [m.span() for m in WORD.finditer(lower)]
