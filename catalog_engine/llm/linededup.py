@@ -28,8 +28,10 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -51,6 +53,9 @@ inverse ratio to the length."""
 COPIES = Settings(words=5, percent=80)
 """Near copies, as the pipeline's near-duplicate removal has them."""
 
+PARSE_BYTES = 1 << 20
+"""Text bytes whose templates a task holds at once."""
+
 FIELD = re.compile(r"\S*\d\S*")
 
 
@@ -120,12 +125,11 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     leaves; same is a hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("same"), text.alias("text"))
-    names = ["doc", "same", "line", "leaf", "templates", "least"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-
     def make():
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            out = [[] for _ in names]
+            # machine integers, not objects: a slice has up to 16 templates for each of its lines
+            docs_, sames, lines, leaves = array("q"), array("q"), array("i"), array("q")
+            templates, least, ends = array("q"), array("i"), array("i", [0])
             for doc, same, text in zip(*(part.column(c).to_pylist() for c in ("doc", "same", "text")), strict=True):
                 for i, line in enumerate(text.split("\n")):
                     if not (found := parse(line)):
@@ -134,13 +138,18 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                     for leaf, *template in zip(*found[1:], strict=True):
                         by_leaf.setdefault(leaf, []).append(template)
                     for leaf, held in by_leaf.items():
-                        for column, value in zip(out, (doc, same, i, leaf, *zip(*held, strict=True)), strict=True):
-                            column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                        docs_.append(doc), sames.append(same), lines.append(i), leaves.append(leaf)
+                        for template, need in held:
+                            templates.append(template), least.append(need)
+                        ends.append(len(templates))
+            flat = [pa.array(np.frombuffer(c, dtype=np.dtype(c.typecode))) for c in (docs_, sames, lines, leaves)]
+            offsets = pa.array(np.frombuffer(ends, dtype=np.int32))
+            nested = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(c, dtype=np.dtype(c.typecode)))) for c in (templates, least)]
+            return pa.RecordBatch.from_arrays([*flat, *nested], ["doc", "same", "line", "leaf", "templates", "least"])
 
         return one
 
-    return map_slices(rows, make, "doc long, same long, line int, leaf long, templates array<long>, least array<int>")
+    return map_slices(rows, make, "doc long, same long, line int, leaf long, templates array<long>, least array<int>", most=PARSE_BYTES)
 
 
 def _recurring_lines(lines: DataFrame) -> DataFrame:
