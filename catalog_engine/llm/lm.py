@@ -13,8 +13,9 @@ order whose n-gram occurs elsewhere, times BACKOFF for each order given up; a wo
 other document has scores BACKOFF ** order / (N' + 1), N' the number of words elsewhere.
 
 Words are lower-cased (A-Z) runs without ASCII white space; n-grams are compared by 64-bit
-hashes. The order is a parameter; the registered query uses 3. Bytes move packed: an n-gram as its
-distance from the one before it in its bucket, all numbers without their leading zero bytes.
+hashes. The order is a parameter; the registered query uses 3. Buckets are ranges of hashes, one for
+BLOCK_BYTES of input or less; n-grams and counts move packed. All texts of a block are scored at once,
+by one sort of its n-grams for each order.
 
 Defined cases: null and empty texts score 0 over 0 words; a single document scores every word
 as unknown; a text may be any length; copies of a document count as other documents; repeated
@@ -24,9 +25,12 @@ rows give repeated rows; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,79 +45,122 @@ TOTALS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64())])
 
 
-def gram_hashes(text: str, order: int) -> list[np.ndarray]:
-    """For each order from 1 on, the hashes of a text's n-grams by the place of their last word."""
-    words = text.encode().lower().split()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    out, grams = [], np.zeros(len(words), dtype=np.uint64)
-    for k in range(1, min(order, len(words)) + 1):
+def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of some texts, one after another, and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    real = pc.not_equal(words, "")  # white space at a text's ends leaves empty pieces
+    text_of = pc.list_parent_indices(lists).filter(real).to_numpy()
+    coded = words.filter(real).dictionary_encode()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    return hashes[coded.indices.to_numpy()], np.bincount(text_of, minlength=len(texts))
+
+
+def block_grams(hashes: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1 on, the places (in the block) that end an n-gram and its hashes there;
+    place is each word's place in its text."""
+    scrambled, grams = mix(hashes), np.zeros(len(hashes), dtype=np.uint64)
+    for k in range(1, order + 1):
         # the n-gram ending here: the one of order k - 1 that ends a word earlier, and this word
-        grams = mix((grams if k == 1 else grams[:-1]) + np.uint64(k) + mix(hashes[k - 1:]))
-        out.append(grams)
-    return out
+        grams = mix((grams if k == 1 else np.concatenate([grams[:1], grams[:-1]])) + np.uint64(k) + scrambled)
+        at = np.flatnonzero(place >= k - 1)
+        yield at, grams[at]
+
+
+def places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each word and the word's place in it."""
+    text_of = np.repeat(np.arange(len(lengths)), lengths)
+    return text_of, np.arange(len(text_of)) - (np.cumsum(lengths) - lengths)[text_of]
 
 
-def _block_grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams of a block with their counts."""
-    parts = [g for t in texts for g in gram_hashes(t, order)]
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+def bucket_width(buckets: int) -> int:
+    """Hashes in a bucket: each bucket is a range of hashes."""
+    return -(-(1 << 64) // buckets)
 
 
-def _by_bucket(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that brings n-grams together by bucket, and where each bucket starts."""
-    bucket = (grams % np.uint64(buckets)).astype(np.int64)
-    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+def bucket_starts(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts in sorted n-grams, and the end."""
+    inner = np.arange(1, buckets, dtype=np.uint64) * np.uint64(bucket_width(buckets) % (1 << 64))
+    return np.concatenate([[0], np.searchsorted(grams, inner), [len(grams)]])
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Unsigned numbers by byte planes, without the planes that are all zero."""
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    """Positive counts: a bit for each says whether it is above 1, then those that are, by byte
+    planes without the planes that are all zero."""
+    more = x[x > 1]
+    width = (int(more.max(initial=0)).bit_length() + 7) // 8
+    planes = more.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return struct.pack("<qB", len(x), width) + np.packbits(x > 1).tobytes() + planes.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, :data[0]] = planes.T
-    return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
+    n, width = struct.unpack_from("<qB", data)
+    above = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, 9), count=n).astype(bool)
+    out = np.ones(n, dtype=np.uint64)
+    if width:
+        planes = np.frombuffer(data, np.uint8, offset=9 + (n + 7) // 8).reshape(width, -1)
+        wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+        wide[:, :width] = planes.T
+        out[above] = wide.reshape(-1).view("<u8")
+    return out
 
 
-def packed_grams(grams: np.ndarray, buckets: int) -> bytes:
-    """Sorted n-grams of one bucket: they differ by multiples of the number of buckets."""
-    return packed(np.diff(grams // np.uint64(buckets), prepend=np.uint64(0)))
+def packed_grams(grams: np.ndarray, bucket: int, buckets: int) -> bytes:
+    """Sorted distinct n-grams of one bucket: the low bytes of each as they are, and of the high
+    parts, which rise slowly, a row of bits: one bit set for each n-gram, a zero for each step."""
+    width, n = bucket_width(buckets), len(grams)
+    rest = grams - np.uint64(bucket * width)
+    gap = max(1, width // max(n, 1)).bit_length() - 1
+    low = min(7, gap // 8 + (gap % 8 > 2))
+    high = (rest >> np.uint64(8 * low)).astype(np.int64)
+    bits = np.zeros(n + (int(high[-1]) if n else 0), dtype=bool)
+    bits[high + np.arange(n)] = True
+    return struct.pack("<qB", n, low) + rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes() + np.packbits(bits).tobytes()
 
 
 def unpacked_grams(data: bytes, bucket: int, buckets: int) -> np.ndarray:
-    return np.cumsum(unpacked(data), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
-
-
-def score_text(text: str, order: int, known: np.ndarray, totals: np.ndarray, all_words: int) -> tuple[int, int, float]:
-    """Words, words that backed off, and log score of a text, from the totals of known n-grams."""
-    hashes = gram_hashes(text, order)
-    if not hashes:
-        return 0, 0, 0.0
-    n = len(hashes[0])
-    elsewhere = []  # by order: c' of the n-gram that ends at each place
-    for grams in hashes:
-        own, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
-        elsewhere.append((totals[np.searchsorted(known, own)] - counts)[inverse])
-    words_left = all_words - n
-    score = np.full(n, math.log(BACKOFF) * order - math.log(words_left + 1))
-    found = np.zeros(n, dtype=bool)
-    first = np.minimum(np.arange(n) + 1, len(hashes))  # the longest order at each place
-    for k in range(len(hashes), 0, -1):
-        counts = elsewhere[k - 1]
-        at = np.arange(k - 1, n)
-        here = (counts > 0) & ~found[at]
-        at, counts = at[here], counts[here]
-        context = elsewhere[k - 2][at - 1 - (k - 2)] if k > 1 else np.full(len(at), words_left)
-        score[at] = np.log(counts) - np.log(context) + math.log(BACKOFF) * (first[at] - k)
-        found[at] = True
-        if k == len(hashes):
-            whole = found.copy()
-        else:
-            whole[at[first[at] == k]] = True
-    return n, int(n - whole.sum()), float(score.sum())
+    n, low = struct.unpack_from("<qB", data)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :low] = np.frombuffer(data, np.uint8, n * low, 9).reshape(n, low)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=9 + n * low))) - np.arange(n)
+    return out.reshape(-1).view("<u8") + (high.astype(np.uint64) << np.uint64(8 * low)) + np.uint64(bucket * bucket_width(buckets))
+
+
+def _elsewhere(grams: np.ndarray, text_of: np.ndarray, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """c' of each n-gram occurrence: its total less the count of its own text."""
+    if not len(grams):
+        return np.zeros(0, dtype=np.int64)
+    by = np.argsort(grams, kind="stable")  # occurrences of one n-gram stay in the order of texts
+    sorted_grams, texts = grams[by], text_of[by]
+    new_gram = np.concatenate([[True], sorted_grams[1:] != sorted_grams[:-1]])
+    starts = np.flatnonzero(new_gram | np.concatenate([[True], texts[1:] != texts[:-1]]))
+    own = np.diff(starts, append=len(grams))
+    total = totals[np.searchsorted(known, sorted_grams[starts])]
+    out = np.empty(len(grams), dtype=np.int64)
+    out[by] = np.repeat(total - own, own)
+    return out
+
+
+def score_texts(hashes: np.ndarray, lengths: np.ndarray, order: int, known: np.ndarray, totals: np.ndarray,
+                all_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that backed off, and log score, of each text, from the totals of known n-grams."""
+    text_of, place = places(lengths)
+    words_left = (all_words - lengths)[text_of]
+    score = math.log(BACKOFF) * order - np.log(words_left + 1)  # as of a word that no other text has
+    first = np.minimum(place + 1, order)  # the longest order at each place
+    backed = np.ones(len(score), dtype=bool)
+    context = words_left  # c' of the n-gram of order k - 1 that ends at a place; N' for the empty one
+    for k, (at, grams) in enumerate(block_grams(hashes, place, order), 1):
+        counts = _elsewhere(grams, text_of[at], known, totals)
+        # each longer order that is found takes the place of the shorter ones
+        found = counts > 0
+        here, before = at[found], context[at[found] - (k > 1)]
+        score[here] = np.log(counts[found]) - np.log(before) + math.log(BACKOFF) * (first[here] - k)
+        backed[here] = first[here] != k
+        context = np.zeros(len(score), dtype=np.int64)
+        context[at] = counts
+    return (np.bincount(text_of, weights=backed, minlength=len(lengths)).astype(np.int64),
+            np.bincount(text_of, weights=score, minlength=len(lengths)))
 
 
 def scores(docs: DataFrame, order: int = 2) -> DataFrame:
@@ -122,17 +169,23 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
     rows = id_text(docs)
     size, all_words = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit("[^ \\t-\\r]+")))).first()
     blocks = max(1, math.ceil((size or 0) / BLOCK_BYTES))
-    buckets = 3 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / BLOCK_BYTES), 1)
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
+    def words_grams(group: pa.Table, **counts) -> tuple:
+        """Words of a block, its distinct n-grams, sorted (and their counts), and where buckets start."""
+        hashes, lengths = block_words(group.column("text").combine_chunks())
+        grams = np.concatenate([g for _, g in block_grams(hashes, places(lengths)[1], order)])
+        distinct = np.unique(grams, **counts)
+        return hashes, lengths, distinct, bucket_starts(distinct[0] if counts else distinct, buckets)
+
     def explode(group: pa.Table) -> pa.Table:
-        grams, counts = _block_grams(group.column("text").to_pylist(), order)
-        by, starts = _by_bucket(grams, buckets)
-        grams, counts = grams[by], counts[by]
+        *_, (grams, counts), starts = words_grams(group, return_counts=True)
         used = np.flatnonzero(np.diff(starts))
-        cut = lambda x, pack: [pack(x[starts[b]:starts[b + 1]]) for b in used]
+        part = {b: slice(starts[b], starts[b + 1]) for b in used.tolist()}
         return pa.table([pa.array(used, pa.int32()), pa.array([group.column("block")[0].as_py()] * len(used), pa.int32()),
-                         pa.array(cut(grams, lambda x: packed_grams(x, buckets)), pa.binary()), pa.array(cut(counts, packed), pa.binary())], schema=GRAMS)
+                         pa.array([packed_grams(grams[s], b, buckets) for b, s in part.items()], pa.binary()),
+                         pa.array([packed(counts[s]) for s in part.values()], pa.binary())], schema=GRAMS)
 
     def join_counts(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -145,14 +198,14 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
                          pa.array([packed(t) for t in np.split(totals, ends[:-1])], pa.binary())], schema=TOTALS)
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = group.column("text").to_pylist()
-        known, _ = _block_grams(texts, order)
+        if not group.num_rows:
+            return SCORES.empty_table()
+        hashes, lengths, known, starts = words_grams(group)
         totals = np.zeros(len(known), dtype=np.int64)
-        by, starts = _by_bucket(known, buckets)
         for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-            totals[by[starts[bucket]:starts[bucket + 1]]] = unpacked(found)
-        out = [score_text(t, order, known, totals, all_words) for t in texts]
-        return pa.table([group.column("doc_id"), *(pa.array([r[i] for r in out], SCORES.field(i + 1).type) for i in range(3))], schema=SCORES)
+            totals[starts[bucket]:starts[bucket + 1]] = unpacked(found)
+        backed, score = score_texts(hashes, lengths, order, known, totals, all_words)
+        return pa.table([group.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(backed, pa.int64()), pa.array(score, pa.float64())], schema=SCORES)
 
     exploded = placed.groupBy("block").applyInArrow(explode, "bucket int, block int, grams binary, counts binary")
     answers = exploded.groupBy("bucket").applyInArrow(join_counts, "block int, bucket int, totals binary")

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import xxhash
 from test_lm import brute
 
 from catalog_engine.llm import lm, plans
@@ -11,10 +13,19 @@ def test_registered_query_has_order_three(spark, sf_small, small_rows):
 
 def test_packed_numbers_come_back():
     rng = np.random.default_rng(3)
-    for x in ([], [0], [1, 255], [256, 0, 2**32], [2**64 - 1, 0]):
+    for x in ([], [1], [1, 255], [256, 1, 2**32], [2**64 - 1, 1], [2] * 9):
         assert lm.unpacked(lm.packed(np.array(x, np.uint64))).tolist() == x
-    grams = np.unique(np.concatenate([rng.integers(0, 2**64, 5000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
-    for buckets in (1, 7, 36):
-        for b in range(buckets):
-            some = grams[grams % np.uint64(buckets) == b]
-            assert (lm.unpacked_grams(lm.packed_grams(some, buckets), b, buckets) == some).all()
+    grams = np.unique(np.concatenate([rng.integers(0, 2**64, 5000, dtype=np.uint64), np.array([0, 1, 2**64 - 1], np.uint64)]))
+    for buckets in (1, 7, 36, 4096):
+        starts = lm.bucket_starts(grams, buckets)
+        back = [lm.unpacked_grams(lm.packed_grams(grams[a:b], k, buckets), k, buckets) for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
+        assert len(back) == buckets and (np.concatenate(back) == grams).all()
+
+
+def test_words_of_a_block():
+    texts = ["", " \t\n", "A b\x0bA\x0c c\r", "\x1c ä\xa0Ä x", "  lead", "trail  "]
+    hashes, lengths = lm.block_words(pa.array(texts))
+    words = [t.encode().lower().split() for t in texts]
+    assert lengths.tolist() == list(map(len, words))
+    assert hashes.tolist() == [xxhash.xxh3_64_intdigest(w) for ws in words for w in ws]
+    assert [len(x) for x in lm.block_words(pa.array([], pa.string()))] == [0, 0]
