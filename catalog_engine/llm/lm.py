@@ -14,8 +14,8 @@ other document has scores BACKOFF ** order / (N' + 1), N' the number of words el
 
 Words are lower-cased (A-Z) runs without ASCII white space; n-grams are compared by 64-bit
 hashes. The order is a parameter; the registered query uses 3. Buckets are ranges of hashes, one for
-BLOCK_BYTES of input or less; n-grams and counts move packed. All texts of a block are scored at once,
-by one sort of its n-grams for each order.
+BLOCK_BYTES of input or less; n-grams and counts move packed, texts compressed, those of a slice that
+go to one block together. Texts of a block are scored by slices, with one sort of n-grams for each order.
 
 Defined cases: null and empty texts score 0 over 0 words; a single document scores every word
 as unknown; a text may be any length; copies of a document count as other documents; repeated
@@ -35,16 +35,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.llm.common import id_text
+from catalog_engine.llm.common import id_text, map_slices, slices
 from catalog_engine.llm.neardedup import mix
 
 BACKOFF = 0.4
 BLOCK_BYTES = 12 << 20
+PACKED = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("texts", pa.binary())])
 GRAMS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 TOTALS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64())])
 
 
+def pack_texts(part: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each block in a slice of documents: ids, where texts end in bytes, and all texts compressed."""
+    part = part.take(pc.sort_indices(part.column("block")))
+    block = part.column("block").to_numpy()
+    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)).tolist() if len(block) else [0]
+    sizes = pc.binary_length(part.column("text")).to_numpy()
+    texts = [pa.compress("".join(part.column("text").slice(a, b - a).to_pylist()).encode(), codec="zstd", asbytes=True) for a, b in zip(cuts, cuts[1:], strict=False)]
+    offsets = pa.array(cuts, pa.int32())
+    ends = np.concatenate([np.zeros(0, np.int32), *(np.cumsum(sizes[a:b], dtype=np.int32) for a, b in zip(cuts, cuts[1:], strict=False))])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block[cuts[:-1]], pa.int32()), pa.ListArray.from_arrays(offsets, part.column("doc_id")),
+         pa.ListArray.from_arrays(offsets, pa.array(ends, pa.int32())), pa.array(texts, pa.binary())], PACKED.names)
+
+
+def unpack_texts(group: pa.Table) -> pa.RecordBatch:
+    """(doc_id, text) of a block's documents."""
+    texts = []
+    for ends, data in zip(group.column("ends").to_pylist(), group.column("texts").to_pylist(), strict=True):
+        offsets = np.array([0, *ends], dtype=np.int32)
+        whole = pa.decompress(data, decompressed_size=ends[-1], codec="zstd")
+        texts.append(pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(whole)))
+    return pa.RecordBatch.from_arrays([group.column("ids").combine_chunks().flatten(), pa.concat_arrays(texts)], ["doc_id", "text"])
+
+
 def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of some texts, one after another, and the number of words of each text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -170,17 +195,18 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
     size, all_words = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit("[^ \\t-\\r]+")))).first()
     blocks = max(1, math.ceil((size or 0) / BLOCK_BYTES))
     buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / BLOCK_BYTES), 1)
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    placed = map_slices(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")),
+                        lambda: pack_texts, "block int, ids array<long>, ends array<int>, texts binary")
 
     def words_grams(group: pa.Table, **counts) -> tuple:
-        """Words of a block, its distinct n-grams, sorted (and their counts), and where buckets start."""
-        hashes, lengths = block_words(group.column("text").combine_chunks())
-        grams = np.concatenate([g for _, g in block_grams(hashes, places(lengths)[1], order)])
-        distinct = np.unique(grams, **counts)
-        return hashes, lengths, distinct, bucket_starts(distinct[0] if counts else distinct, buckets)
+        """By slices of a block, the ids, words and lengths of texts; the block's distinct n-grams,
+        sorted (and their counts); where buckets start."""
+        parts = [(part.column("doc_id"), *block_words(part.column("text"))) for part in slices(unpack_texts(group), "text")]
+        distinct = np.unique(np.concatenate([g for _, hashes, lengths in parts for _, g in block_grams(hashes, places(lengths)[1], order)]), **counts)
+        return parts, distinct, bucket_starts(distinct[0] if counts else distinct, buckets)
 
     def explode(group: pa.Table) -> pa.Table:
-        *_, (grams, counts), starts = words_grams(group, return_counts=True)
+        _, (grams, counts), starts = words_grams(group, return_counts=True)
         used = np.flatnonzero(np.diff(starts))
         part = {b: slice(starts[b], starts[b + 1]) for b in used.tolist()}
         return pa.table([pa.array(used, pa.int32()), pa.array([group.column("block")[0].as_py()] * len(used), pa.int32()),
@@ -200,12 +226,13 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return SCORES.empty_table()
-        hashes, lengths, known, starts = words_grams(group)
+        parts, known, starts = words_grams(group)
         totals = np.zeros(len(known), dtype=np.int64)
         for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
             totals[starts[bucket]:starts[bucket + 1]] = unpacked(found)
-        backed, score = score_texts(hashes, lengths, order, known, totals, all_words)
-        return pa.table([group.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(backed, pa.int64()), pa.array(score, pa.float64())], schema=SCORES)
+        out = [pa.table([ids, pa.array(lengths, pa.int64()), *score_texts(hashes, lengths, order, known, totals, all_words)], schema=SCORES)
+               for ids, hashes, lengths in parts]
+        return pa.concat_tables(out)
 
     exploded = placed.groupBy("block").applyInArrow(explode, "bucket int, block int, grams binary, counts binary")
     answers = exploded.groupBy("bucket").applyInArrow(join_counts, "block int, bucket int, totals binary")

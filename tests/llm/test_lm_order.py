@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from test_lm import brute
 
@@ -29,3 +30,14 @@ def test_words_of_a_block():
     assert lengths.tolist() == list(map(len, words))
     assert hashes.tolist() == [xxhash.xxh3_64_intdigest(w) for ws in words for w in ws]
     assert [len(x) for x in lm.block_words(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_texts_come_back_packed():
+    rows = [(i, i % 3, t) for i, t in enumerate(["", "aä", "x" * 5000, "", "🙂", "b c", ""])] + [(None, 1, "no id")]
+    part = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "block", "text"])
+    back = pa.Table.from_batches([lm.pack_texts(part)]).cast(lm.PACKED)
+    assert back.column("block").to_pylist() == [0, 1, 2]
+    for block in range(3):
+        found = lm.unpack_texts(back.filter(pc.equal(back.column("block"), block)))
+        assert [(i, t) for i, t in zip(*found.to_pydict().values(), strict=True)] == [(i, t) for i, b, t in rows if b == block]
+    assert lm.pack_texts(part.slice(0, 0)).num_rows == 0
