@@ -29,6 +29,7 @@ import math
 import re
 import struct
 from array import array
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_engine.llm.common import id_text, map_slices, passing, stored
-from catalog_engine.llm.neardedup import Settings, groups
+from catalog_engine.llm.neardedup import Settings, groups, mix
 
 LEADING = 3
 MIN_TOKENS = 3
@@ -57,15 +58,23 @@ PARSE_BYTES = 1 << 20
 """Text bytes whose templates a task holds at once."""
 
 FIELD = re.compile(r"\S*\d\S*")
+DIGIT = re.compile(r"\d")
 
 
-BLOCK_FIELDS = [(), *((k,) for k in range(BLOCKS)), *combinations(range(BLOCKS), 2)]
-"""Blocks that are fields, of each template of a line that has blocks."""
+def _kept(fields: tuple[int, ...]) -> list[int]:
+    return [k for k in range(BLOCKS) if k not in fields]
 
 
-def _hash(*parts) -> int:
+HEADS = 3
+"""Blocks that can be the first without a field."""
+BLOCK_FIELDS = sorted([(), *((k,) for k in range(BLOCKS)), *combinations(range(BLOCKS), 2)], key=lambda fields: _kept(fields)[0])
+"""Blocks that are fields, of each template of a line that has blocks, by the leaf that keeps the template."""
+LEAF_SIZES = [sum(_kept(fields)[0] == k for fields in BLOCK_FIELDS) for k in range(HEADS)]
+
+
+def _hash(*parts: str) -> int:
     """Signed 64-bit hash of some tokens."""
-    return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts))) - (1 << 63)
+    return xxhash.xxh3_64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
 def _joined(n: int, kind: int, *hashes: int) -> int:
@@ -80,39 +89,65 @@ def least_docs(fixed: int) -> int:
     return math.ceil(MIN_TOKENS * SHORT_MIN_DOCS / max(fixed, 1))
 
 
-def parse(line: str) -> tuple[int, list[int], list[int], list[int]] | None:
-    """Token count, and for each template its leaf, its hash and the documents that make it
-    recur; None if the line is blank. The first template has no field."""
-    tokens = FIELD.sub("<*>", line).split()
+def parse(line: str) -> list[str]:
+    """The tokens of a line, those with a digit as fields; in a line under MIN_TOKENS tokens, as they are."""
+    tokens = line.split()
+    return FIELD.sub("<*>", line).split() if len(tokens) >= MIN_TOKENS and DIGIT.search(line) else tokens
+
+
+def token_templates(tokens: list[str]) -> tuple[list[int], list[int], list[int]]:
+    """Of a short line, for each template its leaf, its hash and the documents that make it recur.
+    The first template has no field."""
     n = len(tokens)
-    if not n:
-        return None
-    if n < MIN_TOKENS:
-        tokens = line.split()
-    if n < GENERAL_TOKENS:
-        half = max(1, n // 2)
-        first, last = _joined(n, -1, _hash(*tokens[:half])), _joined(n, -2, _hash(*tokens[half:]))
-        leaves, templates, least = [first], [_joined(n, -3, *map(_hash, tokens))], [least_docs(n)]
-        if n > MIN_TOKENS:
-            hashes = [_hash(t) for t in tokens]
-            for k in range(n):
-                leaves.append(last if k < half else first)
-                templates.append(_joined(n, k, *hashes[:k], *hashes[k + 1:]))
-                least.append(least_docs(n - 1))
-        return n, leaves, templates, least
-    cuts = [0, *(LEADING + (n - LEADING) * k // (BLOCKS - 1) for k in range(BLOCKS))]
+    half = max(1, n // 2)
+    first, last = _joined(n, -1, _hash(*tokens[:half])), _joined(n, -2, _hash(*tokens[half:]))
+    leaves, templates, least = [first], [_joined(n, -3, *map(_hash, tokens))], [least_docs(n)]
+    if n > MIN_TOKENS:
+        hashes = [_hash(t) for t in tokens]
+        for k in range(n):
+            leaves.append(last if k < half else first)
+            templates.append(_joined(n, k, *hashes[:k], *hashes[k + 1:]))
+            least.append(least_docs(n - 1))
+    return leaves, templates, least
+
+
+def _cuts(n: int) -> list[int]:
+    """Where the blocks of a line of n tokens begin, and its end."""
+    return [0, *(LEADING + (n - LEADING) * k // (BLOCKS - 1) for k in range(BLOCKS))]
+
+
+def block_hashes(tokens: list[str]) -> list[int]:
+    """Hashes of a line's blocks, and of the leading tokens of the first three."""
+    cuts = _cuts(len(tokens))
     blocks = [tokens[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    hashes = [_hash(*x) for x in blocks]
-    heads = [_joined(n, k, _hash(*blocks[k][:LEADING])) for k in range(3)]
-    leaves, templates, least = [], [], []
-    for kind, fields in enumerate(BLOCK_FIELDS):
-        kept = [k for k in range(BLOCKS) if k not in fields]
-        leaves.append(heads[kept[0]])
-        templates.append(_joined(n, kind, *(hashes[k] for k in kept)))
+    return [xxhash.xxh3_64_intdigest("\x00".join(x)) for x in (*blocks, *(b[:LEADING] for b in blocks[:HEADS]))]
+
+
+@cache
+def _block_least(n: int) -> list[int]:
+    """Documents that make each template of a line of n tokens recur."""
+    cuts, out = _cuts(n), []
+    for fields in BLOCK_FIELDS:
+        fixed = n - sum(cuts[k + 1] - cuts[k] for k in fields)
         # one field behind the leading tokens: as for the whole line, LONG_TOKENS apart
-        fixed = sum(len(blocks[k]) for k in kept)
-        least.append(min(MIN_DOCS, least_docs(fixed)) if len(fields) == 1 and fields[0] else least_docs(fixed))
-    return n, leaves, templates, least
+        out.append(min(MIN_DOCS, least_docs(fixed)) if len(fields) == 1 and fields[0] else least_docs(fixed))
+    return out
+
+
+def block_templates(n: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of n tokens with such block hashes: a leaf for each head, and for each of BLOCK_FIELDS
+    the template's hash and the documents that make it recur."""
+    start = mix(n.astype(np.uint64))
+    leaves = [mix(mix(start + np.uint64(k)) ^ hashes[:, BLOCKS + k]) for k in range(HEADS)]
+    templates = []
+    for kind, fields in enumerate(BLOCK_FIELDS):
+        one = mix(start + np.uint64(HEADS + kind))
+        for k in _kept(fields):
+            one = mix(one * np.uint64(3) + hashes[:, k])
+        templates.append(one)
+    counts, at = np.unique(n, return_inverse=True)
+    least = np.array([_block_least(c) for c in counts.tolist()], np.int32).reshape(-1, len(BLOCK_FIELDS))[at]
+    return np.stack(leaves, 1).view(np.int64), np.stack(templates, 1).view(np.int64), least
 
 
 def doc_key() -> Column:
@@ -129,23 +164,31 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             # machine integers, not objects: a slice has up to 16 templates for each of its lines
             docs_, sames, lines, leaves = array("q"), array("q"), array("i"), array("q")
-            templates, least, ends = array("q"), array("i"), array("i", [0])
+            templates, least, sizes = array("q"), array("i"), array("i")
+            long_docs, long_sames, long_lines, tokens_, hashes = array("q"), array("q"), array("i"), array("q"), array("Q")
             for doc, same, text in zip(*(part.column(c).to_pylist() for c in ("doc", "same", "text")), strict=True):
                 for i, line in enumerate(text.split("\n")):
-                    if not (found := parse(line)):
-                        continue
-                    by_leaf = {}
-                    for leaf, *template in zip(*found[1:], strict=True):
-                        by_leaf.setdefault(leaf, []).append(template)
-                    for leaf, held in by_leaf.items():
-                        docs_.append(doc), sames.append(same), lines.append(i), leaves.append(leaf)
-                        for template, need in held:
-                            templates.append(template), least.append(need)
-                        ends.append(len(templates))
-            flat = [pa.array(np.frombuffer(c, dtype=np.dtype(c.typecode))) for c in (docs_, sames, lines, leaves)]
-            offsets = pa.array(np.frombuffer(ends, dtype=np.int32))
-            nested = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(c, dtype=np.dtype(c.typecode)))) for c in (templates, least)]
-            return pa.RecordBatch.from_arrays([*flat, *nested], ["doc", "same", "line", "leaf", "templates", "least"])
+                    tokens = parse(line)
+                    if len(tokens) >= GENERAL_TOKENS:
+                        long_docs.append(doc), long_sames.append(same), long_lines.append(i), tokens_.append(len(tokens))
+                        hashes.extend(block_hashes(tokens))
+                    elif tokens:
+                        by_leaf = {}
+                        for leaf, *template in zip(*token_templates(tokens), strict=True):
+                            by_leaf.setdefault(leaf, []).append(template)
+                        for leaf, held in by_leaf.items():
+                            docs_.append(doc), sames.append(same), lines.append(i), leaves.append(leaf), sizes.append(len(held))
+                            for template, need in held:
+                                templates.append(template), least.append(need)
+            # long lines: all templates of a slice at once
+            n = np.frombuffer(tokens_, np.int64)
+            found = block_templates(n, np.frombuffer(hashes, np.uint64).reshape(-1, BLOCKS + HEADS))
+            both = lambda short, more: np.concatenate([np.frombuffer(short, more.dtype), more.ravel()])
+            flat = [both(short, np.repeat(np.frombuffer(more, short.typecode), HEADS))
+                    for short, more in ((docs_, long_docs), (sames, long_sames), (lines, long_lines))] + [both(leaves, found[0])]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(both(sizes, np.tile(np.array(LEAF_SIZES, np.int32), len(n))))]).astype(np.int32))
+            nested = [pa.ListArray.from_arrays(offsets, pa.array(both(*x))) for x in ((templates, found[1]), (least, found[2]))]
+            return pa.RecordBatch.from_arrays([*map(pa.array, flat), *nested], ["doc", "same", "line", "leaf", "templates", "least"])
 
         return one
 
