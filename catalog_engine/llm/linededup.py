@@ -6,8 +6,9 @@ the rest, and belongs to the template of its exact tokens and to those in which
 two are variable fields; a shorter line, to those in which any one token is a field (with
 MIN_TOKENS fixed tokens left). Each template is kept under a leaf of the tree: the token count
 and the first tokens that are no field. So lines of one form whose fields differ meet under a
-common template, in any order of arrival, and no leaf is ever gathered in one place: templates
-are counted by hash, with partial sums, and leaves that too few documents reach are pruned first.
+common template, in any order of arrival, and no leaf is ever gathered in one place: leaves that
+too few lines or one text alone reach are pruned by partial sums, and only then are the templates
+of the other lines made and counted by hash.
 
 Limits: fields in three or more blocks, in two places of a short line, or of differing token
 counts do not meet; lines under MIN_TOKENS + 1 tokens have no field.
@@ -19,22 +20,19 @@ dropped from every document, copies included.
 
 Defined cases: null and empty texts have no lines and stay as they are (null becomes empty);
 blank lines always stay; digits of lines under MIN_TOKENS tokens count; a line that a document
-repeats counts once for it; rows of equal text get the same result; null ids are ordinary; an empty table gives no rows. Templates are compared by
-64-bit hashes.
+repeats counts once for it; rows of equal text get the same result; null ids are ordinary; an
+empty table gives no rows. Templates are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import struct
-from array import array
 from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +53,17 @@ COPIES = Settings(words=5, percent=80)
 """Near copies, as the pipeline's near-duplicate removal has them."""
 
 PARSE_BYTES = 1 << 20
-"""Text bytes whose templates a task holds at once."""
+"""Text bytes whose lines a task holds at once."""
 
-FIELD = re.compile(r"\S*\d\S*")
-DIGIT = re.compile(r"\d")
+RARE_SPACE = re.compile(r"[^\S\x00-\x7f]")
+RARE_DIGIT = re.compile(r"([^\D\x00-\x7f])")
+FIELD = b"<*>"
+BYTES = np.arange(256, dtype=np.uint64)
+SPACE = np.isin(BYTES, [*range(9, 14), *range(28, 33)])
+"""ASCII white space, as str.split() has it."""
+LETTERS = np.where(SPACE, np.uint64(0), mix(mix(BYTES + np.uint64(1))))
+"""A number for each byte; none for white space."""
+RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _kept(fields: tuple[int, ...]) -> list[int]:
@@ -67,19 +72,8 @@ def _kept(fields: tuple[int, ...]) -> list[int]:
 
 HEADS = 3
 """Blocks that can be the first without a field."""
-BLOCK_FIELDS = sorted([(), *((k,) for k in range(BLOCKS)), *combinations(range(BLOCKS), 2)], key=lambda fields: _kept(fields)[0])
-"""Blocks that are fields, of each template of a line that has blocks, by the leaf that keeps the template."""
-LEAF_SIZES = [sum(_kept(fields)[0] == k for fields in BLOCK_FIELDS) for k in range(HEADS)]
-
-
-def _hash(*parts: str) -> int:
-    """Signed 64-bit hash of some tokens."""
-    return xxhash.xxh3_64_intdigest("\x00".join(parts)) - (1 << 63)
-
-
-def _joined(n: int, kind: int, *hashes: int) -> int:
-    """Signed 64-bit hash of a token count, a kind and hashes."""
-    return xxhash.xxh3_64_intdigest(struct.pack(f"{2 + len(hashes)}q", n, kind, *hashes)) - (1 << 63)
+BLOCK_FIELDS = [(), *((k,) for k in range(BLOCKS)), *combinations(range(BLOCKS), 2)]
+"""Blocks that are fields, of each template of a line that has blocks."""
 
 
 def least_docs(fixed: int) -> int:
@@ -89,65 +83,137 @@ def least_docs(fixed: int) -> int:
     return math.ceil(MIN_TOKENS * SHORT_MIN_DOCS / max(fixed, 1))
 
 
-def parse(line: str) -> list[str]:
-    """The tokens of a line, those with a digit as fields; in a line under MIN_TOKENS tokens, as they are."""
-    tokens = line.split()
-    return FIELD.sub("<*>", line).split() if len(tokens) >= MIN_TOKENS and DIGIT.search(line) else tokens
-
-
-def token_templates(tokens: list[str]) -> tuple[list[int], list[int], list[int]]:
-    """Of a short line, for each template its leaf, its hash and the documents that make it recur.
-    The first template has no field."""
-    n = len(tokens)
-    half = max(1, n // 2)
-    first, last = _joined(n, -1, _hash(*tokens[:half])), _joined(n, -2, _hash(*tokens[half:]))
-    leaves, templates, least = [first], [_joined(n, -3, *map(_hash, tokens))], [least_docs(n)]
-    if n > MIN_TOKENS:
-        hashes = [_hash(t) for t in tokens]
-        for k in range(n):
-            leaves.append(last if k < half else first)
-            templates.append(_joined(n, k, *hashes[:k], *hashes[k + 1:]))
-            least.append(least_docs(n - 1))
-    return leaves, templates, least
-
-
-def _cuts(n: int) -> list[int]:
-    """Where the blocks of a line of n tokens begin, and its end."""
-    return [0, *(LEADING + (n - LEADING) * k // (BLOCKS - 1) for k in range(BLOCKS))]
-
-
-def block_hashes(tokens: list[str]) -> list[int]:
-    """Hashes of a line's blocks, and of the leading tokens of the first three."""
-    cuts = _cuts(len(tokens))
-    blocks = [tokens[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [xxhash.xxh3_64_intdigest("\x00".join(x)) for x in (*blocks, *(b[:LEADING] for b in blocks[:HEADS]))]
+def _cuts(n):
+    """Where the blocks of a line of n tokens begin, and its end (n: a number or an array)."""
+    return [0 * n, *(LEADING + (n - LEADING) * k // (BLOCKS - 1) for k in range(BLOCKS))]
 
 
 @cache
-def _block_least(n: int) -> list[int]:
-    """Documents that make each template of a line of n tokens recur."""
+def kinds(n: int) -> tuple[tuple[int, tuple[int, ...], int], ...]:
+    """(head, fields, least) of each template of a line of n tokens: the leaf that keeps it, its
+    parts that are fields, the documents that make it recur. Parts are blocks, or tokens of a short line."""
+    if n < GENERAL_TOKENS:
+        whole = (0, (), least_docs(n))
+        return (whole, *((int(k < n // 2), (k,), least_docs(n - 1)) for k in range(n if n > MIN_TOKENS else 0)))
     cuts, out = _cuts(n), []
     for fields in BLOCK_FIELDS:
         fixed = n - sum(cuts[k + 1] - cuts[k] for k in fields)
         # one field behind the leading tokens: as for the whole line, LONG_TOKENS apart
-        out.append(min(MIN_DOCS, least_docs(fixed)) if len(fields) == 1 and fields[0] else least_docs(fixed))
-    return out
-
-
-def block_templates(n: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines of n tokens with such block hashes: a leaf for each head, and for each of BLOCK_FIELDS
-    the template's hash and the documents that make it recur."""
-    start = mix(n.astype(np.uint64))
-    leaves = [mix(mix(start + np.uint64(k)) ^ hashes[:, BLOCKS + k]) for k in range(HEADS)]
-    templates = []
-    for kind, fields in enumerate(BLOCK_FIELDS):
-        one = mix(start + np.uint64(HEADS + kind))
-        for k in _kept(fields):
-            one = mix(one * np.uint64(3) + hashes[:, k])
-        templates.append(one)
-    counts, at = np.unique(n, return_inverse=True)
-    least = np.array([_block_least(c) for c in counts.tolist()], np.int32).reshape(-1, len(BLOCK_FIELDS))[at]
-    return np.stack(leaves, 1).view(np.int64), np.stack(templates, 1).view(np.int64), least
+        least = min(MIN_DOCS, least_docs(fixed)) if len(fields) == 1 and fields[0] else least_docs(fixed)
+        out.append((_kept(fields)[0], fields, least))
+    return tuple(out)
+
+
+@cache
+def leaf_least(n: int) -> tuple[int, ...]:
+    """For each head of a line of n tokens, the fewest documents that make a template of its leaf recur."""
+    heads = HEADS if n >= GENERAL_TOKENS else 2 if n > MIN_TOKENS else 1
+    return tuple(min(least for head, _, least in kinds(n) if head == k) for k in range(heads))
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each run of values that begins at a start and ends before the next: the sum of its
+    values times powers of RADIX. Works on a stretch of runs at a time."""
+    ends, out, at = np.append(starts, len(values)), np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PARSE_BYTES, side="right")) - 1)
+        place = np.arange(ends[at], ends[to]) - np.repeat(ends[at:to], np.diff(ends[at:to + 1]))
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(place.max(), RADIX)]), dtype=np.uint64)
+        part = values[ends[at]:ends[to]]
+        part = LETTERS[part] if part.dtype == np.uint8 else part
+        out[at:to] = np.add.reduceat(part * powers[place], starts[at:to] - ends[at])
+        at = to
+    return mix(out)
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    """The texts with white space as ASCII blanks and a "0" after digits of other alphabets."""
+    _, data = _bytes(texts)
+    if not len(data) or data.max() < 0xC2:
+        return texts
+    # one byte more where a blank of two bytes can begin; three-byte blanks and such digits begin at U+0660
+    if not (data >= 0xD9).any() and not ((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))).any():
+        return texts
+    return pa.array([t if t.isascii() else RARE_DIGIT.sub(r"\g<1>0", RARE_SPACE.sub(" ", t)) for t in texts.to_pylist()], pa.string())
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of texts without nulls."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data
+
+
+def text_lines(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, line, n, named, parts) of the lines of some texts that aren't blank: number in its text,
+    token count; in two flat arrays, hashes of the tokens that name its leaves, and of its parts."""
+    none = np.zeros(0, np.int64)
+    if not len(texts):
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    rows, data = _bytes(_plain(texts))
+    begins = ~SPACE[data]
+    fresh = np.ones(len(data) + 1, bool)  # behind white space, or first of a text
+    fresh[1:-1] = ~begins[:-1]
+    fresh[rows[:-1]] = True
+    starts = np.flatnonzero(begins & fresh[:-1])
+    if not len(starts):
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    tokens = _sums(data, starts)
+    breaks = np.flatnonzero(data == 10)
+    row = np.searchsorted(rows, starts, side="right") - 1
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, rows[row])
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])]))
+    n = np.diff(first, append=len(starts))
+    # tokens with a digit are fields; in a line under MIN_TOKENS tokens they stay as they are
+    fields = np.zeros(len(starts), bool)
+    fields[np.searchsorted(starts, np.flatnonzero((data >= 48) & (data <= 57)), side="right") - 1] = True
+    tokens[fields & np.repeat(n >= MIN_TOKENS, n)] = _sums(np.frombuffer(FIELD, np.uint8), np.zeros(1, np.int64))[0]
+    # parts: blocks of long lines, tokens of short ones
+    long = n >= GENERAL_TOKENS
+    is_part = np.repeat(~long, n)
+    cuts = np.stack(_cuts(n[long]), 1) + first[long][:, None]
+    is_part[cuts[:, :-1].ravel()] = True
+    parts = _sums(tokens, np.flatnonzero(is_part))
+    # leaves are named by the leading tokens of the first blocks, or by a half of a short line
+    heads = np.array([len(leaf_least(min(c, GENERAL_TOKENS))) for c in range(1, GENERAL_TOKENS + 1)])[np.minimum(n, GENERAL_TOKENS) - 1]
+    ends = _offsets(heads)
+    begin, end = np.repeat(first, heads), np.repeat(first + n, heads)
+    head = np.arange(ends[-1]) - np.repeat(ends[:-1], heads)
+    halves = np.repeat(heads == 2, heads)
+    middle = np.repeat(first + n // 2, heads)
+    begin, end = np.where(halves & (head == 1), middle, begin), np.where(halves & (head == 0), middle, end)
+    blocks = np.repeat(long, heads)
+    begin[blocks], end[blocks] = cuts[:, :HEADS].ravel(), np.minimum(cuts[:, :HEADS] + LEADING, cuts[:, 1:HEADS + 1]).ravel()
+    named = np.zeros(len(begin), np.uint64)
+    for k in range(GENERAL_TOKENS // 2):
+        held = begin + k < end
+        named[held] = mix(named[held] * np.uint64(3) + tokens[begin[held] + k])
+    return row[first], line[first], n, named, parts
+
+
+def leaf_hashes(n: np.ndarray, head: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """Leaves of lines of n tokens, by head and the hash of the tokens that name them."""
+    return mix(mix(mix(n.astype(np.uint64)) + head.astype(np.uint64)) ^ named)
+
+
+def templates_of(n: np.ndarray, head: np.ndarray, offsets: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, template, least) of the templates that the leaf of each row keeps; a row is a line of n
+    tokens, by head, with the hashes of its parts from its offset on."""
+    rows, found, least = [], [], []
+    shape = np.minimum(n, GENERAL_TOKENS)
+    for size in np.unique(shape).tolist():
+        for kind, (of, fields, _) in enumerate(kinds(size)):
+            at = np.flatnonzero((shape == size) & (head == of))
+            one = mix(mix(n[at].astype(np.uint64)) + np.uint64(HEADS + kind))
+            for k in range(BLOCKS if size == GENERAL_TOKENS else size):
+                if k not in fields:
+                    one = mix(one * np.uint64(3) + parts[offsets[at] + k])
+            counts, which = np.unique(n[at], return_inverse=True)
+            rows.append(at), found.append(one), least.append(np.array([kinds(c)[kind][2] for c in counts.tolist()], np.int32)[which])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(least)
 
 
 def doc_key() -> Column:
@@ -156,74 +222,81 @@ def doc_key() -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, same, line, leaf, templates, least) of every line that isn't blank and of each of its
-    leaves; same is a hash of the text."""
+    """(doc, same, line, n, parts, leaves, least) of every line that isn't blank: its token count,
+    the hashes of its parts, its leaves and the fewest documents that make a template of each recur;
+    same is a hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("same"), text.alias("text"))
+
     def make():
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            # machine integers, not objects: a slice has up to 16 templates for each of its lines
-            docs_, sames, lines, leaves = array("q"), array("q"), array("i"), array("q")
-            templates, least, sizes = array("q"), array("i"), array("i")
-            long_docs, long_sames, long_lines, tokens_, hashes = array("q"), array("q"), array("i"), array("q"), array("Q")
-            for doc, same, text in zip(*(part.column(c).to_pylist() for c in ("doc", "same", "text")), strict=True):
-                for i, line in enumerate(text.split("\n")):
-                    tokens = parse(line)
-                    if len(tokens) >= GENERAL_TOKENS:
-                        long_docs.append(doc), long_sames.append(same), long_lines.append(i), tokens_.append(len(tokens))
-                        hashes.extend(block_hashes(tokens))
-                    elif tokens:
-                        by_leaf = {}
-                        for leaf, *template in zip(*token_templates(tokens), strict=True):
-                            by_leaf.setdefault(leaf, []).append(template)
-                        for leaf, held in by_leaf.items():
-                            docs_.append(doc), sames.append(same), lines.append(i), leaves.append(leaf), sizes.append(len(held))
-                            for template, need in held:
-                                templates.append(template), least.append(need)
-            # long lines: all templates of a slice at once
-            n = np.frombuffer(tokens_, np.int64)
-            found = block_templates(n, np.frombuffer(hashes, np.uint64).reshape(-1, BLOCKS + HEADS))
-            both = lambda short, more: np.concatenate([np.frombuffer(short, more.dtype), more.ravel()])
-            flat = [both(short, np.repeat(np.frombuffer(more, short.typecode), HEADS))
-                    for short, more in ((docs_, long_docs), (sames, long_sames), (lines, long_lines))] + [both(leaves, found[0])]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(both(sizes, np.tile(np.array(LEAF_SIZES, np.int32), len(n))))]).astype(np.int32))
-            nested = [pa.ListArray.from_arrays(offsets, pa.array(both(*x))) for x in ((templates, found[1]), (least, found[2]))]
-            return pa.RecordBatch.from_arrays([*map(pa.array, flat), *nested], ["doc", "same", "line", "leaf", "templates", "least"])
+            row, line, n, named, parts = text_lines(part.column("text"))
+            counts, which = np.unique(n, return_inverse=True)
+            k = np.array([len(leaf_least(c)) for c in counts.tolist()], np.int64)[which]
+            ends = _offsets(k)
+            head = np.arange(ends[-1]) - np.repeat(ends[:-1], k)
+            least = np.array([[*leaf_least(c), 0, 0][:HEADS] for c in counts.tolist()], np.int32).reshape(-1, HEADS)
+            least = least[np.repeat(which, k), head]
+            leaves = leaf_hashes(np.repeat(n, k), head, named).view(np.int64)
+            of = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            flat = [part.column(c).take(pa.array(row)) for c in ("doc", "same")] + [pa.array(x.astype(np.int32)) for x in (line, n)]
+            lists = [of(_offsets(np.where(n < GENERAL_TOKENS, n, BLOCKS)), parts.view(np.int64)), of(ends, leaves), of(ends, least)]
+            return pa.RecordBatch.from_arrays([*flat, *lists], ["doc", "same", "line", "n", "parts", "leaves", "least"])
 
         return one
 
-    return map_slices(rows, make, "doc long, same long, line int, leaf long, templates array<long>, least array<int>", most=PARSE_BYTES)
+    schema = "doc long, same long, line int, n int, parts array<long>, leaves array<long>, least array<int>"
+    return map_slices(rows, make, schema, most=PARSE_BYTES)
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _line_templates(batches):
+    """Batches (doc, same, line, template, least) for batches of lines under one of their leaves."""
+    for batch in batches:
+        parts = batch.column("parts")
+        offsets = parts.offsets.to_numpy()[:batch.num_rows]
+        n, head = (batch.column(c).to_numpy() for c in ("n", "head"))
+        rows, templates, least = templates_of(n, head, offsets, parts.values.to_numpy().view(np.uint64))
+        kept = batch.select(["doc", "same", "line"]).take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(templates.view(np.int64)), pa.array(least)],
+                                         ["doc", "same", "line", "template", "least"])
 
 
-def _recurring_lines(lines: DataFrame) -> DataFrame:
-    """The lines that have a template held by enough different texts (column same)."""
-    each = lines.select("template", "least", "same").distinct()
-    counts = each.groupBy("template", "least").agg(F.count(F.lit(1)).alias("_docs"))
-    return lines.join(counts.where(F.col("_docs") >= F.col("least")).select("template"), "template", "left_semi")
+def _recurring(held: DataFrame, name: str) -> DataFrame:
+    """The templates that enough different values of a column hold, as a table, so that its size is known."""
+    counts = held.select("template", "least", name).distinct().groupBy("template", "least").agg(F.count(F.lit(1)).alias("_docs"))
+    return stored(counts.where(F.col("_docs") >= F.col("least")).select("template"), "line-recurring-templates")
 
 
 def _recurring_candidates(docs: DataFrame) -> DataFrame:
     """(doc, same, line, template, least) of the lines that recur in different texts."""
-    lines = stored(parsed_lines(docs), "line-templates")
-    leaves = (lines.select("leaf", F.array_min("least").alias("_least"), "same").distinct()
-              .groupBy("leaf").agg(F.count(F.lit(1)).alias("_docs"), F.min("_least").alias("_least")).where(F.col("_docs") >= F.col("_least")))
-    # a document's rows may repeat: keep one of each line
-    lines = lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["doc", "line", "leaf"])
-    each = lines.select("doc", "same", "line", F.explode(F.arrays_zip("templates", "least")).alias("_part"))
-    each = stored(each.select("doc", "same", "line", F.col("_part.templates").alias("template"), F.col("_part.least").alias("least")), "line-candidates")
-    return _recurring_lines(each)
+    lines = stored(parsed_lines(docs), "line-parts")
+    leaves = (lines.select("same", "least", F.posexplode("leaves").alias("head", "leaf"))
+              .groupBy("leaf").agg(F.min("same").alias("_low"), F.max("same").alias("_high"), F.count(F.lit(1)).alias("_lines"),
+                                   F.min(F.get("least", F.col("head"))).alias("_least")))
+    # no fewer lines than texts: a leaf left out here has no template that recurs
+    leaves = stored(leaves.where((F.col("_low") != F.col("_high")) & (F.col("_lines") >= F.col("_least"))).select("leaf"), "line-leaves")
+    live = lines.select("doc", "same", "line", "n", "parts", F.posexplode("leaves").alias("head", "leaf")).join(leaves, "leaf", "left_semi")
+    each = stored(live.mapInArrow(_line_templates, "doc long, same long, line int, template long, least int"), "line-candidates")
+    return each.join(_recurring(each, "same"), "template", "left_semi")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of all lines to drop."""
     with passing() as block:
-        with passing():  # the templates of all lines go before copies are looked for
+        with passing():  # the parts of all lines go before copies are looked for
             each = stored(_recurring_candidates(docs), "line-recurring", block)
-        texts = each.select(F.col("doc").alias("doc_id")).distinct()
-        holders = id_text(docs.select(doc_key().alias("doc_id"), "text")).join(texts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        copies = groups(stored(holders, "line-holders"), COPIES).select(F.col("doc_id").alias("doc"), F.col("label").alias("same"))
-        counted = stored(each.drop("same").join(copies, "doc"), "line-copies")
-        return stored(_recurring_lines(counted).select("doc", "line").distinct(), "line-drops", None)
+        # near copies are looked for among different texts, one document of each
+        texts = stored(each.groupBy("same").agg(F.min("doc").alias("doc_id")), "line-texts")
+        holders = (id_text(docs.select(doc_key().alias("doc_id"), "text")).join(texts.select("doc_id"), "doc_id", "left_semi")
+                   .dropDuplicates(["doc_id"]))
+        copies = groups(stored(holders, "line-holders"), COPIES).select("doc_id", "label").join(texts, "doc_id").select("same", "label")
+        held = each.select("template", "least", "same").distinct().join(copies, "same")
+        drops = each.join(_recurring(held, "label"), "template", "left_semi")
+        return stored(drops.select("doc", "line").distinct(), "line-drops", None)
 
 
 def _cut_rows(docs: DataFrame) -> DataFrame:
