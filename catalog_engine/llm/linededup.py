@@ -303,9 +303,10 @@ def _cut_rows(docs: DataFrame) -> DataFrame:
     """(row, text, n_lines, n_dropped) of every row of docs: the row itself as a struct, so that no
     column of docs can clash, its text after line dedup, and the numbers of its lines."""
     drops = recurring_lines(docs).groupBy("doc").agg(F.collect_list("line").alias("cut"))  # lines of one text
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("key"), text.alias("text"))
-    found = rows.join(drops, F.col("key") == F.col("doc"), "left").select("row", "text", F.split("text", "\n").alias("lines"), "cut")
+    # the text moves once, inside its row
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("key"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    found = rows.join(drops, F.col("key") == F.col("doc"), "left").select("row", text.alias("text"), F.split(text, "\n").alias("lines"), "cut")
     # set difference and access by position: linear in the lines, however many are cut
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
     cut = F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n")
