@@ -131,7 +131,7 @@ def _plain(texts: pa.Array) -> pa.Array:
     _, data = _bytes(texts)
     if not len(data) or data.max() < 0xC2:
         return texts
-    # one byte more where a blank of two bytes can begin; three-byte blanks and such digits begin at U+0660
+    # two blanks lie under U+0660, the first digit that isn't ASCII; all others have a first byte from 0xD9 on
     if not (data >= 0xD9).any() and not ((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))).any():
         return texts
     return pa.array([t if t.isascii() else RARE_DIGIT.sub(r"\g<1>0", RARE_SPACE.sub(" ", t)) for t in texts.to_pylist()], pa.string())
