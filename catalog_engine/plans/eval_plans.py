@@ -192,19 +192,31 @@ def a14_class_prob_histograms(spark, d):
 
 # ---------------------------------------------------------------- model scores
 
-def _scores(spark, d):
-    """Per model test accuracy: one aggregate pass, then long form."""
+def _all_scores(spark, d):
+    """(family, model, score) of every model and of the vote on the test rows: one aggregate pass."""
     df = _scored(spark, d).filter(F.col("split") == "test")
-    accs = df.agg(*[F.avg((X.argmax(f"p_{m}") == F.col("label_idx")).cast("double")).alias(m)
-                    for _, m, _ in SC.MODELS])
-    long = accs.unpivot([], [m for _, m, _ in SC.MODELS], "model", "score")
-    fam = F.create_map(*[x for f, m, _ in SC.MODELS for x in (F.lit(m), F.lit(f))])
-    return long.select(F.element_at(fam, F.col("model")).alias("family"), "model", "score")
+    df = E.soft_vote(df, [f"p_{m}" for m in SC.VOTERS], T, max_models=SC.MAX_VOTERS)
+    wide = df.agg(*[F.avg((X.argmax(f"p_{m}") == F.col("label_idx")).cast("double")).alias(m) for _, m, _ in SC.MODELS],
+                  F.avg((F.col("vote") == F.col("label")).cast("double")).alias(VOTE[1]))
+    rows = [F.struct(F.lit(f).alias("family"), F.lit(m).alias("model"), F.col(m).alias("score"))
+            for f, m in [*((f, m) for f, m, _ in SC.MODELS), VOTE]]
+    return wide.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
+
+
+VOTE = ("ensemble", "soft_vote")
+
+
+def _scores(spark, d):
+    """Per model test accuracy, in long form."""
+    return _models_of(_all_scores(spark, d))
+
+
+def _models_of(rows):
+    return rows.filter(F.col("family") != VOTE[0])
 
 
-def _ensemble(spark, d):
-    return _vote(spark, d).agg(F.avg((F.col("vote") == F.col("label")).cast("double"))
-                               .alias("ensemble"))
+def _ensemble_of(rows):
+    return rows.filter(F.col("family") == VOTE[0]).select(F.col("score").alias("ensemble"))
 
 
 def _scores_sql() -> str:
@@ -221,11 +233,7 @@ _ENS_SQL = ", ens AS (SELECT avg(CASE WHEN vote = label THEN 1.0 ELSE 0.0 END) A
 SELECT family, model, round_even(score, 6) AS score FROM scores
 UNION ALL SELECT 'ensemble', 'soft_vote', round_even(ensemble, 6) FROM ens""")
 def u2_score_union(spark, d):
-    ens = _ensemble(spark, d).select(F.lit("ensemble").alias("family"),
-                                     F.lit("soft_vote").alias("model"),
-                                     F.col("ensemble").alias("score"))
-    out = _scores(spark, d).unionByName(ens)
-    return out.select("family", "model", F.bround("score", 6).alias("score"))
+    return _all_scores(spark, d).select("family", "model", F.bround("score", 6).alias("score"))
 
 
 @register("a18_family_means", f"""{WS}{_scores_sql()}
@@ -243,7 +251,8 @@ fam AS (SELECT family, count(*) AS n_models, max(score) AS best_score FROM score
 SELECT family, n_models, round_even(best_score, 6) AS best_score, trait
 FROM fam LEFT JOIN traits USING (family)""")
 def a20_family_summary(spark, d):
-    return E.family_summary(_scores(spark, d), _ensemble(spark, d), fixtures.FAMILY_NOTES)
+    rows = _all_scores(spark, d)
+    return E.family_summary(_models_of(rows), _ensemble_of(rows), fixtures.FAMILY_NOTES)
 
 
 @register("a23_report_facts", f"""{WS},
@@ -282,7 +291,8 @@ SELECT round_even(best_single, 6) AS best_single, round_even(ensemble, 6) AS ens
        round_even(100.0 * {Q.ratio('ensemble - best_single', 'best_single')}, 6) AS gain_pct
 FROM b, ens""")
 def a19_ensemble_gain(spark, d):
-    return E.ensemble_gain(_scores(spark, d), _ensemble(spark, d))
+    rows = _all_scores(spark, d)
+    return E.ensemble_gain(_models_of(rows), _ensemble_of(rows))
 
 
 @register("t4_best_model", f"""{WS}{_scores_sql()}

@@ -63,16 +63,22 @@ def scored(tiered_lines: DataFrame, part_df: DataFrame, models: list | None = No
         F.col(S.TIER).alias("label"), tier_index(S.TIER).alias("label_idx"),
         *[_feature(cols).alias(f"f_{m}") for m, cols in used])
     long = base.filter(F.col("split") == "train").select(
-        "label_idx", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"f_{m}").alias("v")) for m, _ in used])).alias("_f"))
+        "label_idx", F.explode(F.array(*[F.struct(F.lit(model_index(m)).alias("m"), F.col(f"f_{m}").alias("v")) for m, _ in used])).alias("_f"))
+    # the model's number is also an aggregate: a filter on the key itself would move below the
+    # aggregate, and every model would read and count the rows for itself instead of reusing one exchange
     counts = long.groupBy(F.col("_f.m").alias("m"), F.col("_f.v").alias("v")).agg(
-        *[F.count_if(F.col("label_idx") == j).alias(f"n{j}") for j in range(3)])
+        F.max("_f.m").alias("model"), *[F.count_if(F.col("label_idx") == j).alias(f"n{j}") for j in range(3)])
+
+    one = F.lit(1.0)
+    n = [F.col(f"n{j}").cast("double") + one for j in range(3)]
+    unseen = F.array(*[one / (one + one + one)] * 3)
 
     def apply(df: DataFrame, model: str) -> DataFrame:
-        # adaptive execution broadcasts it where its size, known by then, allows it
-        own = counts.filter(F.col("m") == model).select(F.col("v").alias(f"f_{model}"), "n0", "n1", "n2")
-        n = [F.coalesce(F.col(f"n{j}"), F.lit(0)).cast("double") + F.lit(1.0) for j in range(3)]
-        probs = F.array(*[x / (n[0] + n[1] + n[2]) for x in n])
-        return df.join(own, f"f_{model}", "left").withColumn(f"p_{model}", probs).drop("n0", "n1", "n2", f"f_{model}")
+        # probabilities belong to a feature's value: divided there, not once more in every row.
+        # adaptive execution broadcasts the table where its size, known by then, allows it
+        own = counts.filter(F.col("model") == model_index(model)).select(
+            F.col("v").alias(f"f_{model}"), F.array(*[x / (n[0] + n[1] + n[2]) for x in n]).alias("_p"))
+        return df.join(own, f"f_{model}", "left").withColumn(f"p_{model}", F.coalesce("_p", unseen)).drop("_p", f"f_{model}")
 
     return reduce(apply, [m for m, _ in used], base)
 
