@@ -22,8 +22,8 @@ def _docs(spark, d):
 
 
 def _vocabulary(docs):
-    n = docs.select(F.count(F.lit(1))).scalar()
-    return TX.select_vocabulary(TX.term_stats(TX.analyze(docs, "text", SPEC)), n, SPEC)
+    n = docs.count()
+    return TX.select_vocabulary(TX.bounded_stats(docs, "text", n, SPEC), n, SPEC)
 
 
 def _weights(docs, vocab):
