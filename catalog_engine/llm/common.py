@@ -36,17 +36,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS = 1000
+"""Rows with whole texts that go to Python at once; Spark's 10,000 are tens of MB on either side."""
+
 INNERMOST = []
 _passing: ContextVar[list | None] = ContextVar("tables of the innermost passing() block", default=None)
 
 
-def stored(df: DataFrame, label: str, block: list | None = INNERMOST) -> DataFrame:
+def stored(df: DataFrame, label: str, block: list | None = INNERMOST, batch_rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so what follows
     survives lost executors and never computes df again. The table goes at the end of the
-    given passing() block, by default of the innermost one, if any; with None it stays."""
+    given passing() block, by default of the innermost one, if any; with None it stays.
+    batch_rows bounds the rows that go to Python at once."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(batch_rows or before))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     block = _passing.get() if block is INNERMOST else block
     if block is not None:
         block.append((spark, path))
@@ -92,6 +102,21 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+SIEVE_BITS = 26
+"""A sieve has two to the power of this bits, in words of 64: a table of a million rows at most."""
+
+
+def sifted(df: DataFrame, col: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose hash in a column may be among the keys, a column of the same name: all that
+    are, and few others. With left_anti the other rows. Nothing is shuffled: the keys become a table of
+    bits, of bounded size however many they are, that is broadcast. With more keys than bits it lets all pass."""
+    at = F.col(col).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    words = (keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+             .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    return df.join(F.broadcast(words), (word == F.col("_word")) & (F.getbit("_bits", bit) == 1), how)
+
+
 def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """One Arrow list for each array."""
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)

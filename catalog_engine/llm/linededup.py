@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.llm.common import id_text, map_slices, passing, stored
+from catalog_engine.llm.common import BATCH_ROWS, map_slices, passing, sifted, stored
 from catalog_engine.llm.neardedup import Settings, groups, mix
 
 LEADING = 3
@@ -104,11 +104,19 @@ def kinds(n: int) -> tuple[tuple[int, tuple[int, ...], int], ...]:
     return tuple(out)
 
 
+@cache
+def counted(n: int) -> tuple[bool, ...]:
+    """Which of the kinds decide. A template with more fields has all the lines of one with fewer; if it
+    needs no more documents, it recurs whenever the other does, and the other needn't be counted."""
+    of = kinds(n)
+    return tuple(not any(set(fields) < set(more) and least >= enough for _, more, enough in of) for _, fields, least in of)
+
+
 @cache
 def leaf_least(n: int) -> tuple[int, ...]:
     """For each head of a line of n tokens, the fewest documents that make a template of its leaf recur."""
     heads = HEADS if n >= GENERAL_TOKENS else 2 if n > MIN_TOKENS else 1
-    return tuple(min(least for head, _, least in kinds(n) if head == k) for k in range(heads))
+    return tuple(min(least for (head, _, least), yes in zip(kinds(n), counted(n), strict=True) if yes and head == k) for k in range(heads))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -205,28 +213,29 @@ def templates_of(n: np.ndarray, head: np.ndarray, offsets: np.ndarray, parts: np
     for size in np.unique(shape).tolist():
         for kind, (of, fields, _) in enumerate(kinds(size)):
             at = np.flatnonzero((shape == size) & (head == of))
+            counts, which = np.unique(n[at], return_inverse=True)
+            need = np.array([counted(c)[kind] for c in counts.tolist()], bool)[which]
+            at, which = at[need], which[need]
             one = mix(mix(n[at].astype(np.uint64)) + np.uint64(HEADS + kind))
             for k in range(BLOCKS if size == GENERAL_TOKENS else size):
                 if k not in fields:
                     one = mix(one * np.uint64(3) + parts[offsets[at] + k])
-            counts, which = np.unique(n[at], return_inverse=True)
             rows.append(at), found.append(one), least.append(np.array([kinds(c)[kind][2] for c in counts.tolist()], np.int32)[which])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     return np.concatenate(rows), np.concatenate(found), np.concatenate(least)
 
 
-def doc_key() -> Column:
-    """A row's key: its id and text (null text as empty)."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+def whole_text(column: str = "text") -> Column:
+    """A text column with null texts as empty ones."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, same, line, n, parts, leaves, least) of every line that isn't blank: its token count,
+    """(same, line, n, parts, leaves, least) of every line that isn't blank: its token count,
     the hashes of its parts, its leaves and the fewest documents that make a template of each recur;
     same is a hash of the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("same"), text.alias("text"))
+    rows = docs.select(F.xxhash64(whole_text()).alias("same"), whole_text().alias("text"))
 
     def make():
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -239,13 +248,13 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
             least = least[np.repeat(which, k), head]
             leaves = leaf_hashes(np.repeat(n, k), head, named).view(np.int64)
             of = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            flat = [part.column(c).take(pa.array(row)) for c in ("doc", "same")] + [pa.array(x.astype(np.int32)) for x in (line, n)]
+            flat = [part.column("same").take(pa.array(row))] + [pa.array(x.astype(np.int32)) for x in (line, n)]
             lists = [of(_offsets(np.where(n < GENERAL_TOKENS, n, BLOCKS)), parts.view(np.int64)), of(ends, leaves), of(ends, least)]
-            return pa.RecordBatch.from_arrays([*flat, *lists], ["doc", "same", "line", "n", "parts", "leaves", "least"])
+            return pa.RecordBatch.from_arrays([*flat, *lists], ["same", "line", "n", "parts", "leaves", "least"])
 
         return one
 
-    schema = "doc long, same long, line int, n int, parts array<long>, leaves array<long>, least array<int>"
+    schema = "same long, line int, n int, parts array<long>, leaves array<long>, least array<int>"
     return map_slices(rows, make, schema, most=PARSE_BYTES)
 
 
@@ -254,65 +263,77 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
 
 
 def _line_templates(batches):
-    """Batches (doc, same, line, template, least) for batches of lines under one of their leaves."""
+    """Batches (same, line, template, least) for batches of lines under one of their leaves."""
     for batch in batches:
         parts = batch.column("parts")
         offsets = parts.offsets.to_numpy()[:batch.num_rows]
         n, head = (batch.column(c).to_numpy() for c in ("n", "head"))
         rows, templates, least = templates_of(n, head, offsets, parts.values.to_numpy().view(np.uint64))
-        kept = batch.select(["doc", "same", "line"]).take(pa.array(rows))
+        kept = batch.select(["same", "line"]).take(pa.array(rows))
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(templates.view(np.int64)), pa.array(least)],
-                                         ["doc", "same", "line", "template", "least"])
+                                         ["same", "line", "template", "least"])
 
 
-def _recurring(held: DataFrame, name: str) -> DataFrame:
-    """The templates that enough different values of a column hold, as a table, so that its size is known."""
-    counts = held.select("template", "least", name).distinct().groupBy("template", "least").agg(F.count(F.lit(1)).alias("_docs"))
-    return stored(counts.where(F.col("_docs") >= F.col("least")).select("template"), "line-recurring-templates")
-
-
-def _recurring_candidates(docs: DataFrame) -> DataFrame:
-    """(doc, same, line, template, least) of the lines that recur in different texts."""
-    lines = stored(parsed_lines(docs), "line-parts")
+def _candidates(docs: DataFrame) -> DataFrame:
+    """(same, line, template, least) of all lines whose templates may recur."""
+    lines = stored(parsed_lines(docs), "line-parts", batch_rows=BATCH_ROWS)
     leaves = (lines.select("same", "least", F.posexplode("leaves").alias("head", "leaf"))
               .groupBy("leaf").agg(F.min("same").alias("_low"), F.max("same").alias("_high"), F.count(F.lit(1)).alias("_lines"),
                                    F.min(F.get("least", F.col("head"))).alias("_least")))
     # no fewer lines than texts: a leaf left out here has no template that recurs
     leaves = stored(leaves.where((F.col("_low") != F.col("_high")) & (F.col("_lines") >= F.col("_least"))).select("leaf"), "line-leaves")
-    live = lines.select("doc", "same", "line", "n", "parts", F.posexplode("leaves").alias("head", "leaf")).join(leaves, "leaf", "left_semi")
-    each = stored(live.mapInArrow(_line_templates, "doc long, same long, line int, template long, least int"), "line-candidates")
-    return each.join(_recurring(each, "same"), "template", "left_semi")
+    # a leaf too many does no harm, its templates are counted as all others
+    live = sifted(lines.select("same", "line", "n", "parts", F.posexplode("leaves").alias("head", "leaf")), "leaf", leaves)
+    return live.mapInArrow(_line_templates, "same long, line int, template long, least int")
+
+
+def _near_copies(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(same, label) of those of some texts that have near copies among them; these share a label."""
+    # one document of each text would do, but to find it costs more than to sketch them all
+    held = sifted(docs.select(F.xxhash64(whole_text()).alias("doc_id"), whole_text().alias("text")), "doc_id", texts)
+    found = groups(held, COPIES, among=texts).select(F.col("doc_id").alias("same"), "label").distinct()
+    return found.join(found.groupBy("label").agg(F.count(F.lit(1)).alias("_texts")).where(F.col("_texts") > 1), "label", "left_semi")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line) of all lines to drop."""
+    """(same, cut): the numbers of the lines to drop, for each text (by its hash) that has any."""
     with passing() as block:
         with passing():  # the parts of all lines go before copies are looked for
-            each = stored(_recurring_candidates(docs), "line-recurring", block)
-        # near copies are looked for among different texts, one document of each
-        texts = stored(each.groupBy("same").agg(F.min("doc").alias("doc_id")), "line-texts")
-        holders = (id_text(docs.select(doc_key().alias("doc_id"), "text")).join(texts.select("doc_id"), "doc_id", "left_semi")
-                   .dropDuplicates(["doc_id"]))
-        copies = groups(stored(holders, "line-holders"), COPIES).select("doc_id", "label").join(texts, "doc_id").select("same", "label")
-        held = each.select("template", "least", "same").distinct().join(copies, "same")
-        drops = each.join(_recurring(held, "label"), "template", "left_semi")
-        return stored(drops.select("doc", "line").distinct(), "line-drops", None)
+            each = stored(_candidates(docs), "line-candidates")
+            counts = each.select("template", "least", "same").distinct().groupBy("template", "least").agg(F.count(F.lit(1)).alias("_docs"))
+            counts = stored(counts.where(F.col("_docs") >= F.col("least")), "line-recurring-templates", block)
+            each = stored(each.select("same", "line", "template").join(counts, "template", "left_semi"), "line-recurring", block)
+        with passing():
+            texts = stored(each.select(F.col("same").alias("doc_id")).distinct(), "line-texts")
+            copies = stored(_near_copies(docs, texts), "line-copies", block)
+        # near copies of one text count once: of each label all texts but one are taken off
+        held = sifted(each.select("template", "same"), "same", copies).distinct().join(copies, "same")
+        over = (held.groupBy("template", "label").agg(F.count(F.lit(1)).alias("_texts")).where(F.col("_texts") > 1)
+                .groupBy("template").agg(F.sum(F.col("_texts") - 1).alias("_over")))
+        left = F.col("_docs") - F.coalesce("_over", F.lit(0))
+        recurring = stored(counts.join(over, "template", "left").where(left >= F.col("least")).select("template"), "line-recurring-templates")
+        drops = each.join(recurring, "template", "left_semi").select("same", "line").distinct()
+        return stored(drops.groupBy("same").agg(F.collect_list("line").alias("cut")), "line-drops", None)  # lines of one text
 
 
 def _cut_rows(docs: DataFrame) -> DataFrame:
     """(row, text, n_lines, n_dropped) of every row of docs: the row itself as a struct, so that no
     column of docs can clash, its text after line dedup, and the numbers of its lines."""
-    drops = recurring_lines(docs).groupBy("doc").agg(F.collect_list("line").alias("cut"))  # lines of one text
-    # the text moves once, inside its row
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("key"))
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    found = rows.join(drops, F.col("key") == F.col("doc"), "left").select("row", text.alias("text"), F.split(text, "\n").alias("lines"), "cut")
+    drops = recurring_lines(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(whole_text()).alias("same"))
+    # the text moves once, inside its row, and only if it may have lines to drop
+    keys, text = drops.select("same"), whole_text("row.text")
+    found = sifted(rows, "same", keys).join(drops, "same", "left").select("row", text.alias("text"), F.split(text, "\n").alias("lines"), "cut")
     # set difference and access by position: linear in the lines, however many are cut
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
     cut = F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n")
-    return found.select("row", F.when(F.col("cut").isNull(), F.col("text")).otherwise(cut).alias("text"),
-                        F.when(F.col("text") == "", 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-                        F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_dropped"))
+    moved = found.select("row", F.when(F.col("cut").isNull(), F.col("text")).otherwise(cut).alias("text"),
+                         F.when(F.col("text") == "", 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+                         F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_dropped"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    stays = (sifted(rows, "same", keys, "left_anti").select("row", text.alias("text"))
+             .select("row", "text", F.when(F.col("text") == "", 0).otherwise(1 + breaks).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
+    return moved.unionByName(stays)
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.llm.common import id_text, lists, map_slices, stored
+from catalog_engine.llm.common import BATCH_ROWS, id_text, lists, map_slices, sifted, stored
 from catalog_engine.llm.components import components
 
 ROWS = 5
@@ -96,7 +96,7 @@ def sketch(elements: np.ndarray, size: int) -> np.ndarray:
     """The coordinates of a set that isn't empty: round number and 52 hash bits."""
     empty = np.uint64(2**64 - 1)
     out, seeds = np.full(size, empty), _seeds(2 * size)
-    at, together = 0, max(1, 4096 // len(elements))
+    at, together = 0, max(1, 2048 // len(elements))
     while at < size:
         rounds = np.arange(at, min(size, at + together), dtype=np.uint64)
         hashed = mix(elements[None, :] ^ seeds[at:at + len(rounds), None])
@@ -149,9 +149,10 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """(node, elements) of the given nodes, from one document of each class."""
-    needed = classes.join(nodes, "node").select("node", "key", "set")
-    rows = id_text(docs).withColumn("key", F.xxhash64("doc_id", "text")).join(needed, "key")
+    """(node, elements) of the given nodes, from one document of each class; dealt by node, so that joins by node need not move them again."""
+    needed = stored(classes.join(nodes, "node").select("node", "key", "set"), "near-needed")
+    # few of all texts: the others stay where they are
+    rows = sifted(id_text(docs).withColumn("key", F.xxhash64("doc_id", "text")), "key", needed).join(needed, "key")
 
     def make():
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,19 +165,29 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, settings: Setti
 
         return one
 
-    return stored(map_slices(rows.select("node", "set", "text"), make, "node long, elements array<long>").dropDuplicates(["node"]), "near-sets")
+    return map_slices(rows.select("node", "set", "text"), make, "node long, elements array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    pairs = stored(pairs, "near-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, classes, nodes, settings)
     with_sets = (pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("_a")), "a")
                  .join(sets.select(F.col("node").alias("b"), F.col("elements").alias("_b")), "b"))
     inter = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - inter
-    return stored(with_sets.where(100 * inter >= settings.percent * union).select("a", "b"), "near-links")
+    return stored(with_sets.where(100 * inter >= settings.percent * union).select("a", "b"), "near-links", batch_rows=BATCH_ROWS)
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(node, bucket) of the buckets with several members. Of buckets with the same members only the
+    first band's is kept: a pair is compared in the first bucket that it shares, and hubs are the same."""
+    entries = classes.select("node", F.posexplode("buckets").alias("band", "bucket"))
+    several = entries.groupBy("bucket").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where(F.col("_low") != F.col("_high"))
+    several = stored(several.select("bucket"), "near-buckets")
+    shared = stored(sifted(entries, "bucket", several).join(several, "bucket"), "near-shared")
+    same = shared.groupBy("bucket").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("_n"), F.min("node").alias("_low"),
+                                        F.max("node").alias("_high"), F.bit_xor(F.xxhash64("node")).alias("_mark"))
+    first = same.groupBy("_n", "_low", "_high", "_mark").agg(F.min(F.struct("band", "bucket")).alias("_first")).select(F.col("_first.bucket").alias("bucket"))
+    return stored(shared.select("node", "bucket").join(first, "bucket"), "near-members")
 
 
 def _hub_pairs(classes: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
@@ -209,24 +220,32 @@ def agreement(a: str, b: str) -> Column:
     return agree(a, b)
 
 
-def _block_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+def _block_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) between different components that share a bucket: enough of them to join
-    the components that links join."""
+    the components that links join. Pairs that were verified need no second look."""
     known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = (known.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_members"))
              .where(F.col("_low") != F.col("_high")).select("bucket", F.ceil(F.col("_members") / BLOCK).cast("int").alias("_blocks")))
     entries = stored(known.join(mixed, "bucket"), "near-mixed")
-    sets = _sets(docs, classes, entries.select("node").distinct(), settings)
-    rows = entries.join(classes.select("node", "sketch", "buckets").join(sets, "node"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    spread = (rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-              .select("bucket", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "label", "sketch", "buckets", "elements"))
-    return stored(spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-                  .mapInArrow(lambda batches: _compare(batches, settings), "a long, b long"), "near-links")
-
-
-def _compare(batches, settings: Settings):
-    """Groups of sorted rows, one after the other: members of one or two blocks of a bucket."""
+    # two of its partners tell nearly all verified pairs: a member has few, though a hub may have many
+    partner = F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    verified = (pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).select("node", partner.alias("_partner"))
+                .groupBy("node").agg(F.min("_partner").alias("one"), F.max("_partner").alias("two")))
+    side = classes.select("node", "n", "sketch", "buckets").join(verified, "node", "left").fillna(-1, ["one", "two"])
+    spread = (entries.join(side, "node")
+              .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+              .select("bucket", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "label", "n", "one", "two", "sketch", "buckets"))
+    in_blocks = lambda rows: rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    # by sketch first: only members of pairs whose sketches agree are compared by their sets
+    kept = "bucket long, low int, high int, own int, node long, label long, n long, one long, two long, sketch binary, buckets array<long>"
+    near = stored(in_blocks(spread).mapInArrow(lambda batches: _compare(batches, settings, _agreeing), kept), "near-agreeing")
+    near = near.join(_sets(docs, classes, near.select("node").distinct(), settings), "node")
+    return stored(in_blocks(near).mapInArrow(lambda batches: _compare(batches, settings, _group_links), "a long, b long"), "near-links")
+
+
+def _compare(batches, settings: Settings, of):
+    """What a function yields of groups of sorted rows, one after the other: members of one or two blocks of a bucket."""
     held: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -234,37 +253,57 @@ def _compare(batches, settings: Settings):
         key = np.column_stack([held.column(c).to_numpy() for c in ("bucket", "low", "high")])
         starts = np.concatenate([[0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1))]) if len(key) else np.zeros(1, int)
         for start, stop in zip(starts.tolist(), starts[1:].tolist(), strict=False):
-            yield from _group_links(held.slice(start, stop - start), settings)
+            yield from of(held.slice(start, stop - start), settings)
         held = held.slice(int(starts[-1]))
     if held is not None and held.num_rows:
-        yield from _group_links(held, settings)
+        yield from of(held, settings)
 
 
-def _group_links(rows: pa.Table, settings: Settings):
-    """Verified links of one block or of two, without those inside a component."""
-    rows = rows.combine_chunks()
-    node, label, own = (rows.column(c).to_numpy() for c in ("node", "label", "own"))
-    label, two_blocks = label.copy(), rows.column("low")[0] != rows.column("high")[0]
-    if (label == label[0]).all():
-        return
+def _near_by_sketch(rows: pa.Table, label: np.ndarray, settings: Settings):
+    """(i, others) of the members i of a group: those behind it, of other labels by now and not verified
+    before, whose sketches agree with its own and that share no earlier bucket with it."""
+    node, own, n, one, two = (rows.column(c).to_numpy() for c in ("node", "own", "n", "one", "two"))
+    two_blocks = rows.column("low")[0] != rows.column("high")[0]
     bucket = rows.column("bucket")[0].as_py()
     marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
     bands = rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    elements = rows.column("elements").combine_chunks()
-    flat, ends = elements.flatten().to_numpy().view(np.uint64), np.cumsum(elements.value_lengths().to_numpy())
-    n = np.diff(ends, prepend=0)
     band = int(np.flatnonzero(bands[0] == bucket)[0])
-    left, right = [], []
     for i in range(len(node) - 1):
         others = np.arange(i + 1, len(node))
         fits = (label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= settings.percent * np.maximum(n[others], n[i]))
         if two_blocks:
             fits &= own[others] != own[i]  # pairs inside a block are compared where it meets itself
+        fits &= (one[others] != node[i]) & (two[others] != node[i]) & (node[others] != one[i]) & (node[others] != two[i])
         others = others[fits]
         others = others[(marks[others] == marks[i]).sum(axis=1) >= settings.least_agreement]
         others = others[(bands[others] == bands[i]).argmax(axis=1) == band]  # else an earlier bucket has the pair
-        if not len(others):
-            continue
+        if len(others):
+            yield i, others
+
+
+def _agreeing(rows: pa.Table, settings: Settings):
+    """The members of one block or of two whose sketches agree with another one's."""
+    rows = rows.combine_chunks()
+    label = rows.column("label").to_numpy()
+    if (label == label[0]).all():
+        return
+    found = np.zeros(len(label), bool)
+    for i, others in _near_by_sketch(rows, label, settings):
+        found[i] = found[others] = True
+    yield from rows.filter(pa.array(found)).to_batches()
+
+
+def _group_links(rows: pa.Table, settings: Settings):
+    """Verified links of one block or of two, without those inside a component."""
+    rows = rows.combine_chunks()
+    node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
+    if (label == label[0]).all():
+        return
+    label = label.copy()
+    elements = rows.column("elements").combine_chunks()
+    flat, ends = elements.flatten().to_numpy().view(np.uint64), np.cumsum(elements.value_lengths().to_numpy())
+    left, right = [], []
+    for i, others in _near_by_sketch(rows, label, settings):
         mine = flat[ends[i] - n[i]:ends[i]]
         theirs = np.concatenate([flat[ends[j] - n[j]:ends[j]] for j in others.tolist()])
         at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
@@ -278,25 +317,33 @@ def _group_links(rows: pa.Table, settings: Settings):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, key, n, label, component_id) of every row: label numbers the component of a row
-    whose set isn't empty, component_id is its smallest id."""
-    rows = stored(sketches(docs, settings), "near-sketches")
+def groups(docs: DataFrame, settings: Settings = Settings(), among: DataFrame | None = None) -> DataFrame:
+    """(doc_id, key, n, label, component_id) of every row, or of those whose id is among some: label
+    numbers the component of a row whose set isn't empty, component_id is its smallest id."""
+    rows = stored(sketches(docs, settings), "near-sketches", batch_rows=BATCH_ROWS)
+    own = rows.select("doc_id", "key", "n", "set")
+    marks = [F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")]
+    names = [F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n")]
+    by_set = rows.where(F.col("set").isNotNull()).groupBy("set")
+    if among is None:
+        classes = by_set.agg(*names, *marks)
+    else:  # the sketches meet by set only
+        own = stored(own.join(among, "doc_id", "left_semi"), "near-own")
+        classes = by_set.agg(*marks).join(own.where(F.col("set").isNotNull()).groupBy("set").agg(*names), "set")
     # numbered once and written, so numbers stay
-    classes = stored(rows.where(F.col("set").isNotNull()).groupBy("set").agg(
-        F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
-        .withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    entries = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("bucket")
-    members = stored(entries.join(shared, "bucket"), "near-members")
-    links = _verified(_hub_pairs(classes, members, settings), docs, classes, settings)
-    labels = components(links)
-    more = _block_links(docs, classes, members, labels, settings)
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    members = _members(classes)
+    mark = F.xxhash64("node").alias("_mark")
+    side = stored(sifted(classes.select("*", mark), "_mark", members.select(mark)).drop("_mark"), "near-side")  # the others have no pairs
+    pairs = stored(_hub_pairs(side, members, settings), "near-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    links = _verified(pairs, _sets(docs, side, nodes, settings), settings)
+    more = _block_links(docs, side, members, components(links), pairs, settings)
     labels = components(links.unionByName(more))
     named = classes.select("node", "set", "doc_id").join(labels, "node", "left").select("set", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = named.select("set", "label").join(smallest, "label")
-    return rows.select("doc_id", "key", "n", "set").join(by_set, "set", "left").select(
+    return own.join(by_set, "set", "left").select(
         "doc_id", "key", "n", "label", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
