@@ -298,11 +298,12 @@ def _near_copies(docs: DataFrame, texts: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(same, cut): the numbers of the lines to drop, for each text (by its hash) that has any."""
     with passing() as block:
-        with passing():  # the parts of all lines go before copies are looked for
-            each = stored(_candidates(docs), "line-candidates")
+        with passing() as first:
+            with passing():  # the parts of all lines go before templates are counted
+                each = stored(_candidates(docs), "line-candidates", first)
             counts = each.select("template", "least", "same").distinct().groupBy("template", "least").agg(F.count(F.lit(1)).alias("_docs"))
             counts = stored(counts.where(F.col("_docs") >= F.col("least")), "line-recurring-templates", block)
-            each = stored(each.select("same", "line", "template").join(counts, "template", "left_semi"), "line-recurring", block)
+            each = stored(sifted(each.select("same", "line", "template"), "template", counts).join(counts, "template", "left_semi"), "line-recurring", block)
         with passing():
             texts = stored(each.select(F.col("same").alias("doc_id")).distinct(), "line-texts")
             copies = stored(_near_copies(docs, texts), "line-copies", block)
@@ -312,7 +313,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
                 .groupBy("template").agg(F.sum(F.col("_texts") - 1).alias("_over")))
         left = F.col("_docs") - F.coalesce("_over", F.lit(0))
         recurring = stored(counts.join(over, "template", "left").where(left >= F.col("least")).select("template"), "line-recurring-templates")
-        drops = each.join(recurring, "template", "left_semi").select("same", "line").distinct()
+        drops = sifted(each, "template", recurring).join(recurring, "template", "left_semi").select("same", "line").distinct()
         return stored(drops.groupBy("same").agg(F.collect_list("line").alias("cut")), "line-drops", None)  # lines of one text
 
 
