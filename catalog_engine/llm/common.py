@@ -37,7 +37,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 BATCH_ROWS = 1000
-"""Rows with whole texts that go to Python at once; Spark's 10,000 are tens of MB on either side."""
+"""Rows with whole texts or sets that go to Python at once; Spark's 10,000 are tens of MB on either side."""
 
 INNERMOST = []
 _passing: ContextVar[list | None] = ContextVar("tables of the innermost passing() block", default=None)
@@ -98,6 +98,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
         for batch in batches:
             for part in slices(batch, column, most):
                 yield one(part)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 

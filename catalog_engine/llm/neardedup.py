@@ -239,9 +239,9 @@ def _block_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels
     in_blocks = lambda rows: rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     # by sketch first: only members of pairs whose sketches agree are compared by their sets
     kept = "bucket long, low int, high int, own int, node long, label long, n long, one long, two long, sketch binary, buckets array<long>"
-    near = stored(in_blocks(spread).mapInArrow(lambda batches: _compare(batches, settings, _agreeing), kept), "near-agreeing")
+    near = stored(in_blocks(spread).mapInArrow(lambda batches: _compare(batches, settings, _agreeing), kept), "near-agreeing", batch_rows=BATCH_ROWS)
     near = near.join(_sets(docs, classes, near.select("node").distinct(), settings), "node")
-    return stored(in_blocks(near).mapInArrow(lambda batches: _compare(batches, settings, _group_links), "a long, b long"), "near-links")
+    return stored(in_blocks(near).mapInArrow(lambda batches: _compare(batches, settings, _group_links), "a long, b long"), "near-links", batch_rows=BATCH_ROWS)
 
 
 def _compare(batches, settings: Settings, of):
